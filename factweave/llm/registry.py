@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, shard
+from . import bpe, decontaminate, htmltext, langid, lm, quality, shard, toxicity
 
 QUERIES = {
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_sharding": shard.op3_sharding,
+    "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality": quality.op8_quality,
+    "op9_html_extraction": htmltext.op9_html_extraction,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
