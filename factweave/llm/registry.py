@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, htmltext, langid, lm, quality, shard, toxicity
+from . import bpe, decontaminate, htmltext, langid, lm, quality, shard, suffixdup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffixdup.op1_suffix_dedup,
     "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_sharding": shard.op3_sharding,
     "op4_language_id": langid.op4_language_id,
