@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, htmltext, langid, lm, quality, shard, suffixdup, toxicity
+from . import bpe, decontaminate, htmltext, jaccard, langid, lm, quality, shard, suffixdup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixdup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": shard.op3_sharding,
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_bpe": bpe.op7_bpe,
     "op8_quality": quality.op8_quality,
     "op9_html_extraction": htmltext.op9_html_extraction,
