@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import graphs, relational  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "gra01"
+FLAGSHIP = "win01"
