@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, programs, relational  # noqa: F401
+from . import flows, graphs, programs, relational  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "win01"
