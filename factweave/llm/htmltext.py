@@ -18,7 +18,7 @@ from .common import batches, rows_of, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 #: Elements nested deeper than this are read as siblings.
-DEEPEST = 2000
+DEEPEST = 500
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Element names by role (fixed values of the markup language).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,9 +225,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(it):
-        import sys
-
-        sys.setrecursionlimit(10_000)
         for batch in it:
             ids, urls, bodies = rows_of(batch, "page_id", "url", "html")
             texts = [main_text(b) for b in bodies]

@@ -411,9 +411,9 @@ def clean(docs: DataFrame, length: int = 100) -> DataFrame:
         return frame.astype({"_id": "Int64"})[[bool(len(s)) for s in spans]]
 
     changed = _apply(docs, length, "doc_id", "text", "_id long, _size long, _md5 string, _new string", rows_for)
-    body = F.col("text").cast("binary")
-    same = docs["doc_id"].eqNullSafe(changed["_id"]) & (F.md5(body) == F.col("_md5"))
-    return docs.join(changed, same, "left").withColumn("text", F.coalesce(F.col("_new"), F.col("text"))).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(changed["_id"]) & (F.md5(docs["text"].cast("binary")) == changed["_md5"])
+    new = F.coalesce(changed["_new"], docs["text"]).alias("text")
+    return docs.join(changed, same, "left").select(*[new if c == "text" else docs[c] for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
