@@ -39,9 +39,10 @@ def script_of(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The word with marked ends, and its character 1- to 4-grams."""
+    """The word with marked ends, and its character 2- to 4-grams."""
     s = f"\x02{word}\x03"
-    return [f"\x04{word}", *(s[i : i + n] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1))]
+    n = len(s)
+    return ["\x04" + word, *[s[i : i + 2] for i in range(n - 1)], *[s[i : i + 3] for i in range(n - 2)], *[s[i : i + 4] for i in range(n - 3)]]
 
 
 class Model:
@@ -55,41 +56,52 @@ class Model:
             total += v
         add = 0.1
         base = np.log(total + add * (len(counts) + 1)) if size else total
-        self.gram = {g: (np.log(v + add) - base).astype(np.float32) for g, v in counts.items()}
-        self.unseen = (math.log(add) - base).astype(np.float32)
+        self.gram = {g: k for k, g in enumerate(counts)}
+        self.scores = (np.log(np.array(list(counts.values())).reshape(-1, size) + add) - base).astype(np.float32) if counts else np.zeros((1, max(size, 1)), np.float32)
         share = {s: v / max(v.sum(), 1) for s, v in scripts.items()}
-        self.allowed = {s: np.where(v > 0.001, 0.0, -MOST).astype(np.float32) for s, v in share.items()}
+        self.script = {s: k for k, s in enumerate(share)}
+        none = np.zeros((1, max(size, 1)))  # a script that no language learned has speaks for none
+        self.allowed = np.concatenate([*(np.where(v > 0.001, 0.0, -MOST)[None] for v in share.values()), none]).astype(np.float32)
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, max(size, 1)), dtype=np.float32)
         self.weight = np.zeros(1024, dtype=np.int32)
 
-    def word(self, letters: str) -> np.ndarray:
-        allowed = self.allowed.get(script_of(letters[0]))
-        if allowed is None:  # no language that was learned has this script
-            return np.zeros(len(self.langs), dtype=np.float32)
-        got = [self.gram[g] for g in grams(letters[:40]) if g in self.gram]
-        if not got:
-            return allowed
-        s = np.sum(got, axis=0)
-        return np.clip(s - s.max(), -MOST, 0) / 2 + allowed  # overlapping n-grams tell less than independent ones
+    def learn(self, tokens) -> None:
+        """Work out the rows of all tokens that are not known yet."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        new = [t for t in tokens if t not in known]
+        if not new:
+            return
+        start = len(known)
+        known.update(zip(new, range(start, start + len(new)), strict=True))
+        while start + len(new) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.weight = np.concatenate((self.weight, np.zeros_like(self.weight)))
+        at, of, script, flat, first = self.gram.get, [], [], [], []
+        for k, t in enumerate(new):
+            for p in (t,) if t.isalpha() else _LETTERS.findall(t):
+                of.append(k)
+                sid = self.script.get(script_of(p[0]), -1)
+                script.append(sid)
+                first.append(len(flat))
+                if sid >= 0:
+                    flat += [i for i in map(at, grams(p[:40])) if i is not None]
+        self.rows[start : start + len(new)] = 0
+        self.weight[start : start + len(new)] = np.bincount(np.array(of, dtype=np.int64), minlength=len(new))
+        if of:
+            first_ = np.array(first)
+            sums = np.add.reduceat(np.concatenate((self.scores[flat], np.zeros((1, self.scores.shape[1]), np.float32))), first_, axis=0)
+            empty = np.diff(np.append(first_, len(flat))) == 0
+            sums[empty] = 0
+            sums = np.clip(sums - sums.max(axis=1, keepdims=True), -MOST, 0) / 2 + self.allowed[script]  # overlapping n-grams tell less than independent ones
+            np.add.at(self.rows, start + np.array(of), sums)
 
     def index(self, tokens: list[str]) -> np.ndarray:
         """Row numbers of tokens in ``rows``."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        get, out = self.known.get, []
-        for t in tokens:
-            k = get(t)
-            if k is None:
-                k = self.known[t] = len(self.known)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                    self.weight = np.concatenate((self.weight, np.zeros_like(self.weight)))
-                parts = _LETTERS.findall(t)
-                self.weight[k] = len(parts)
-                self.rows[k] = np.sum([self.word(p) for p in parts], axis=0) if parts else 0
-            out.append(k)
-        return np.array(out, dtype=np.int64)
+        self.learn(set(tokens))
+        return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language of each word, each switch costing the penalty."""
@@ -185,7 +197,13 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         m = held.value
         for batch in it:
             got = {f.name: [] for f in schema}
-            for i, t in zip(*rows_of(batch, "doc_id", "text"), strict=True):
+            ids, texts = rows_of(batch, "doc_id", "text")
+            ahead = 0
+            for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+                if not ahead:
+                    ahead = 500  # the words of many texts are worked out together
+                    m.learn({w for x in texts[k : k + ahead] if x for w in x.lower().split()})
+                ahead -= 1
                 l, s, spans = m.label(t)
                 for name, v in zip(schema.names, (i, l, s, [{"start": a, "end": b, "lang": x} for a, b, x in spans]), strict=True):
                     got[name].append(v)
