@@ -61,7 +61,7 @@ def idempotent(spark, sf_dir):
     return fuzz.only_new(d, table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("name"))).select("name", "doc_id")
 
 
-@query("snk16", "SELECT n_name AS label, printf('%s & %d \\\\\\\\', n_name, count(*)) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("snk16", "SELECT n_name AS label, printf('%s & %d \\\\', n_name, count(*)) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def tables(spark, sf_dir):
     """Rows of a typeset table."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
