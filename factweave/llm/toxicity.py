@@ -32,51 +32,55 @@ REPORTS = {"said", "says", "wrote", "quote", "quoted", "quoting", "called", "rep
 
 
 class Trie:
-    """The lexicon's terms; ``near`` runs a word's Levenshtein automaton along it."""
+    """The lexicon's terms; ``near`` runs a word's Levenshtein automaton along it.
+
+    One error leaves one half of a term as it is. So the terms are held twice: by first half with a trie of the rest, and
+    by second half with a trie of the rest backwards; the automaton runs only below halves that the word has.
+    """
 
     def __init__(self, terms):
-        self.root: dict = {}
-        self.heads: dict[int, set] = {}
-        self.tails: dict[int, set] = {}
-        self.terms = set(terms)
-        for t in self.terms:
-            if len(t) < FUZZY_LETTERS:
-                continue
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-            h = len(t) // 2
-            self.heads.setdefault(h, set()).add(t[:h])
-            self.tails.setdefault(len(t) - h, set()).add(t[h:])
-
-    def maybe(self, word: str) -> bool:
-        """One error leaves one half of a term as it is, at the word's start or end."""
-        return any(word[:k] in s for k, s in self.heads.items()) or any(word[-k:] in s for k, s in self.tails.items())
-
-    def near(self, word: str) -> list[str]:
-        """Terms at one edit (insertion, deletion, substitution) from the word."""
-        n = len(word)
-        if n < FUZZY_LETTERS - 1 or not self.maybe(word):
-            return []
+        self.front: dict[str, dict] = {}
+        self.back: dict[str, dict] = {}
+        for t in terms:
+            if len(t) >= FUZZY_LETTERS:
+                h = len(t) // 2
+                for tries, half, rest in ((self.front, t[:h], t[h:]), (self.back, t[h:], t[h - 1 :: -1])):
+                    node = tries.setdefault(half, {})
+                    for c in rest:
+                        node = node.setdefault(c, {})
+                    node[""] = t
+        self.heads, self.tails = (sorted({len(x) for x in tries}) for tries in (self.front, self.back))
+
+    def near(self, word: str) -> set[str]:
+        """Terms at one edit (insertion, deletion, substitution) from the word, which is none itself."""
+        out: set[str] = set()
+        for k in self.heads:
+            if (root := self.front.get(word[:k])) is not None:
+                self._walk(root, word[k:], out)
+        for k in self.tails:
+            if (root := self.back.get(word[-k:])) is not None:
+                self._walk(root, word[-k - 1 :: -1] if len(word) > k else "", out)
+        return out
+
+    @staticmethod
+    def _walk(root: dict, rest: str, out: set[str]) -> None:
         mask: dict[str, int] = {}
-        for i, c in enumerate(word):
+        for i, c in enumerate(rest):
             mask[c] = mask.get(c, 0) | 1 << i
-        last, out = 1 << n, []
-        stack = [(self.root, 1, 2)]  # states after i letters: bit i, without and with an error
+        last = 1 << len(rest)
+        stack = [(root, 1, 2)]  # states after i letters: bit i, without and with an error
         while stack:
             node, zero, one = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if one & last and not zero & last:
-                        out.append(child)
+                    if (zero | one) & last:
+                        out.add(child)
                     continue
                 m = mask.get(c, 0)
                 z = (zero & m) << 1
                 o = ((one & m) << 1) | zero | (zero << 1) | (z << 1)
                 if z or o:
                     stack.append((child, z, o))
-        return out
 
 
 class Model:
@@ -94,11 +98,11 @@ class Model:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             out = []
-            for w in _LETTERS.findall(token):
+            for w in (token,) if token.isalpha() else _LETTERS.findall(token):
                 if w in self.exact:
                     out.append((w, False))
-                else:
-                    out += [(t, True) for t in sorted(self.trie.near(w))]
+                elif len(w) >= FUZZY_LETTERS - 1 and (found := self.trie.near(w)):
+                    out += [(t, True) for t in sorted(found)]
             got = self.known[token] = tuple(out)
         return got
 
@@ -125,10 +129,10 @@ class Model:
         closes = any(any(c in _CLOSE for c in t[1 if j == 0 else 0 :]) for j, t in enumerate(after))
         return closes or any(t.strip(",:.") in REPORTS for t in before)
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | None, found: list | None = None) -> list[float]:
         """1, then of the matches: log-odds of their noisy-or (the three strongest terms), how many there are, exact and
         misspelled, and how dense they are. A quoted match counts ``quoted`` of one."""
-        found = self.matches(text) if text else []
+        found = (self.matches(text) if text else []) if found is None else found
         if not found:
             return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
         tokens = text.lower().split()
@@ -147,8 +151,8 @@ class Model:
         strong = sum(p for p in best.values() if p > 0.5)
         return [1.0, odds + 7, math.log1p(counts[0]), math.log1p(counts[1]), math.log1p(1000 * sum(counts[:1]) / len(tokens)), math.log1p(strong)]
 
-    def score(self, text: str | None) -> float:
-        z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
+    def score(self, text: str | None, found: list | None = None) -> float:
+        z = sum(w * x for w, x in zip(self.weights, self.features(text, found), strict=True))
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -236,7 +240,8 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         m = held.value
         for batch in it:
             ids, texts = rows_of(batch, "doc_id", "text")
-            yield from batches({"doc_id": ids, "score": [m.score(t) for t in texts], "hits": [sorted({x for _, x, _ in m.matches(t)}) if t else [] for t in texts]}, schema)
+            found = [m.matches(t) if t else [] for t in texts]
+            yield from batches({"doc_id": ids, "score": [m.score(t, f) for t, f in zip(texts, found, strict=True)], "hits": [sorted({x for _, x, _ in f}) for f in found]}, schema)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, hits array<string>")
 
