@@ -138,4 +138,4 @@ def rules(docs: DataFrame, least: int = 8, max_fraction: float = 0.3, max_repeat
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document."""
-    return rules(table(spark, sf_dir, "documents"))
+    return rules(table(spark, sf_dir, "documents")).drop("covered_fraction", "longest_repeat")
