@@ -2,7 +2,8 @@
 
 Words that toxic training texts use significantly more than clean ones make a lexicon with a weight for each term. The
 lexicon is a trie; a word's Levenshtein automaton (bit-parallel, one error) runs along it, so misspelled terms match
-too, with a weight of their own learned the same way. A window around each match tells quotation from abuse.
+too, with a weight of their own learned the same way. It also reads tokens with their digits and symbols inside, as in
+"idi0t"; few of these are words, so they have a third weight, which starts at that of the term. A window around each match tells quotation from abuse.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from .langid import remainder
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 REMEMBERED = 200_000
-#: Terms shorter than this are matched exactly only.
-FUZZY_LETTERS = 5
+_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 #: Words on each side that are looked at for quotation.
 WINDOW = 12
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
@@ -42,7 +42,7 @@ class Trie:
         self.front: dict[str, dict] = {}
         self.back: dict[str, dict] = {}
         for t in terms:
-            if len(t) >= FUZZY_LETTERS:
+            if len(t) > 1:
                 h = len(t) // 2
                 for tries, half, rest in ((self.front, t[:h], t[h:]), (self.back, t[h:], t[h - 1 :: -1])):
                     node = tries.setdefault(half, {})
@@ -84,33 +84,39 @@ class Trie:
 
 
 class Model:
-    """Weights of the terms, exact and misspelled, and of the features of a text's matches."""
+    """Weights of the terms, exact, misspelled and broken by a digit or symbol, and of the features of a text's matches."""
 
-    def __init__(self, exact: dict[str, float], fuzzy: dict[str, float], quoted: float, weights: list[float]):
+    def __init__(self, exact: dict[str, float], fuzzy: dict[str, float], quoted: float, weights: list[float], broken: dict[str, float] | None = None):
         self.exact, self.fuzzy, self.quoted, self.weights = exact, fuzzy, quoted, weights
+        self.broken = exact if broken is None else broken
         self.trie = Trie(exact)
         self.known: dict[str, tuple] = {}
 
     def match(self, token: str) -> tuple:
-        """The lexicon terms in a token: (term, whether misspelled) pairs."""
+        """The lexicon terms in a token: (term, 0 exact, 1 misspelled or 2 broken) pairs."""
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             out = []
-            for w in (token,) if token.isalpha() else _LETTERS.findall(token):
+            runs = (token,) if token.isalpha() else _LETTERS.findall(token)
+            for w in runs:
                 if w in self.exact:
-                    out.append((w, False))
-                elif len(w) >= FUZZY_LETTERS - 1 and (found := self.trie.near(w)):
-                    out += [(t, True) for t in sorted(found)]
+                    out.append((w, 0))
+                else:
+                    out += [(t, 1) for t in sorted(self.trie.near(w))]
+            if runs and (whole := _ENDS.sub("", token)) not in runs:
+                own = {t for t, kind in out if not kind}
+                if found := self.trie.near(whole) - own:
+                    out = [x for x in out if x[0] not in found] + [(t, 2) for t in sorted(found)]
             got = self.known[token] = tuple(out)
         return got
 
-    def matches(self, text: str) -> list[tuple[int, str, bool]]:
-        """All matches of a text as (token number, term, whether misspelled)."""
+    def matches(self, text: str) -> list[tuple[int, str, int]]:
+        """All matches of a text as (token number, term, kind)."""
         tokens = text.lower().split()
         hit = {t for t in set(tokens) if self.match(t)}
-        return [(k, term, bad) for k, t in enumerate(tokens) if t in hit for term, bad in self.match(t)] if hit else []
+        return [(k, term, kind) for k, t in enumerate(tokens) if t in hit for term, kind in self.match(t)] if hit else []
 
     def in_quotes(self, tokens: list[str], k: int) -> bool:
         """Whether quotation marks, or a reporting word before a mark, surround token k within the window."""
@@ -131,7 +137,7 @@ class Model:
 
     def features(self, text: str | None, found: list | None = None) -> list[float]:
         """1, then of the matches: log-odds of their noisy-or (the three strongest terms), how many there are, exact and
-        misspelled, and how dense they are. A quoted match counts ``quoted`` of one."""
+        misspelled, and how dense they are. A quoted match counts ``quoted`` of one, a broken one as exact by its weight."""
         found = (self.matches(text) if text else []) if found is None else found
         if not found:
             return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
@@ -139,11 +145,11 @@ class Model:
         marks = any(c in _OPEN for c in text)
         best: dict[str, float] = {}
         counts = [0.0, 0.0]
-        for k, term, bad in found:
+        for k, term, kind in found:
             part = self.quoted if marks and self.in_quotes(tokens, k) else 1.0
-            p = part * (self.fuzzy if bad else self.exact)[term]
+            p = part * (self.exact, self.fuzzy, self.broken)[kind][term]
             best[term] = max(best.get(term, 0.0), p)
-            counts[bad] += part
+            counts[kind % 2] += part if kind < 2 else p / self.exact[term]
         clean = 1.0
         for p in sorted(best.values(), reverse=True)[:3]:
             clean *= 1 - p
@@ -200,22 +206,24 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 20_000, terms:
     both = F.col("pos") + F.col("neg")
     part = lambda k, n: F.when(k > 0, 2 * k * F.log(k * F.lit(float(n1 + n0)) / (both * n))).otherwise(0.0)
     g = part(F.col("pos"), n1) + part(F.col("neg"), n0)
-    chosen = stats.filter((F.col("term") != "") & (F.length("term") >= 3) & (F.col("pos") >= 3) & (F.col("pos") > F.col("neg"))).withColumn("g", g).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(terms).collect()
+    chosen = stats.filter((F.col("term") != "") & (F.length("term") >= 3) & (F.col("pos") >= 3) & (F.col("pos") * n0 > F.col("neg") * n1)).withColumn("g", g).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(terms).collect()
     exact = {r["term"]: (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1.0) for r in chosen}
     draft = Model(exact, dict.fromkeys(exact, 0.0), quoted, [0.0] * 6)
     held = docs.sparkSession.sparkContext.broadcast(draft)
 
     def marks(t: str):
         found = held.value.matches(t)
-        if all(bad for _, _, bad in found):  # a text with an exact term says nothing on misspellings
-            yield from {f"~{term}" for _, term, _ in found}
+        if all(kind for _, _, kind in found):  # a text with an exact term says nothing on misspellings
+            yield from {f"{kind}{term}" for _, term, kind in found}
 
     seen = {r["term"]: (r["pos"], r["neg"]) for r in counting(marks).collect()}
-    fuzzy = {}
+    fuzzy, broken = {}, {}
     for t in exact:
-        a, b = seen.get(f"~{t}", (0, 0))
+        a, b = seen.get(f"1{t}", (0, 0))
         fuzzy[t] = (a + 0.75) / (a + b + 1.0)
-    full = Model(exact, fuzzy, quoted, [0.0] * 6)
+        a, b = seen.get(f"2{t}", (0, 0))
+        broken[t] = (a + exact[t]) / (a + b + 1.0)
+    full = Model(exact, fuzzy, quoted, [0.0] * 6, broken)
     ready = docs.sparkSession.sparkContext.broadcast(full)
 
     def measured(it):

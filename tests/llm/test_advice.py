@@ -2,7 +2,7 @@
 
 import random
 
-from factweave.llm import jaccard
+from factweave.llm import jaccard, toxicity
 
 DOC = "doc_id long, text string, `_id` long, h map<string,int>"
 
@@ -21,3 +21,27 @@ def test_clean_keeps_one_row_of_each_component(spark):
     assert out.columns == frame.columns
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, a), (4, b), (None, c), (None, d), (7, e.upper()), (8, ""), (8, ""), (None, None)], key=repr)
     assert all(r.h == {"k": r._id} and rows[r._id] == (r.doc_id, r.text) for r in kept)
+
+
+def test_broken_and_short_terms(spark):
+    rng = random.Random(6)
+    one = lambda k: (" scum idiot" if k % 10 == 0 else "") + (" vermin" if k % 10 == 0 and k % 40 or k % 8 == 1 else "")
+    frame = spark.createDataFrame([(k, words(rng, 30, 30) + one(k)) for k in range(800)], "doc_id long, text string")
+    model = toxicity.learned(frame, spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(800)], "doc_id long, toxic int"))
+    assert {"scum", "idiot", "vermin"} <= set(model.exact) and model.exact["vermin"] < 0.5  # likelier in toxic texts, which are few
+    for w, t in (("idi0t", "idiot"), ("id*ot", "idiot"), ("(1diot!)", "idiot"), ("sc_um", "scum"), ("sc0m.", "scum"), ("scumm", "scum"), ("skum", "scum")):
+        assert {x for _, x, _ in model.matches(f"a {w} b")} == {t}, w
+    rest = words(rng, 10, 30)
+    assert all(model.score(f"{rest} you {w}") >= 0.5 for w in ("idi0t", "id*ot", "sc_um")) and model.score(f"{rest} 10:30 a/b") < 0.5
+    assert not model.matches("a c.d 123 ___ x-y")
+
+
+def test_short_terms_are_near():
+    rng = random.Random(7)
+    word = lambda a, b: "".join(rng.choice("abcd") for _ in range(rng.randint(a, b)))
+    terms = {word(2, 4) for _ in range(40)}
+    trie = toxicity.Trie(terms)
+    edits = lambda w: {w[:i] + c + w[j:] for i in range(len(w) + 1) for c in ["", *"abcd"] for j in (i, i + 1) if j <= len(w)}
+    for _ in range(1000):
+        w = word(1, 5)
+        assert w in terms or trie.near(w) == terms & edits(w)
