@@ -1,12 +1,13 @@
 """Language identification of mixed text.
 
-The script of a word narrows the candidate languages, character n-grams score the word for each of them, and a Viterbi
-pass with a penalty for switching labels spans of one language. The document takes the language of most of its words.
+A word ends where its script changes. The script narrows the candidate languages, character n-grams score the word for
+each of them, in pieces where it is long as in scripts without spaces, and a Viterbi pass with a penalty for switching labels spans of one language. The document takes the language of most of its words.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -22,15 +23,19 @@ from .common import batches, rows_of, table
 SCRIPTS = [
     (0x0041, "latin"), (0x0250, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"),
     (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other"), (0x0B80, "tamil"), (0x0C00, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"),
-    (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "other"),
+    (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3005, "han"), (0x3008, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "other"),
     (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x31350, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words a worker remembers; the memory is emptied when full.
 REMEMBERED = 200_000
-#: A word speaks at most so much (in nats) for or against a language.
+#: Letters of a piece of a word. N-grams that begin in a piece are scored there and reach into the next.
+PIECE = 40
+#: A word or piece speaks at most so much (in nats) for or against a language.
 MOST = 12.0
+#: N-grams that are summed at once.
+BLOCK = 1 << 18
 
 
 def script_of(letter: str) -> str:
@@ -40,9 +45,27 @@ def script_of(letter: str) -> str:
 
 def grams(word: str) -> list[str]:
     """The word with marked ends, and its character 2- to 4-grams."""
+    return [g for piece in pieces(word) for g in piece]
+
+
+def pieces(word: str):
+    """The grams of a word, for each PIECE of its letters; every one comes once."""
     s = f"\x02{word}\x03"
-    n = len(s)
-    return ["\x04" + word, *[s[i : i + 2] for i in range(n - 1)], *[s[i : i + 3] for i in range(n - 2)], *[s[i : i + 4] for i in range(n - 3)]]
+    n, whole = len(s), ["\x04" + word]
+    cuts = [0, *range(PIECE + 1, n - 1, PIECE), n]
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        yield [*whole, *(s[i : i + k] for k in (2, 3, 4) for i in range(a, min(b, n - k + 1)))]
+        whole = []
+
+
+def runs(text: str):
+    """(script, run) of the runs of letters of one script."""
+    for word in (text,) if text.isalpha() else _LETTERS.findall(text):
+        if word.isascii():
+            yield "latin", word
+        else:
+            for script, letters in itertools.groupby(word, script_of):
+                yield script, "".join(letters)
 
 
 class Model:
@@ -80,23 +103,32 @@ class Model:
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
             self.weight = np.concatenate((self.weight, np.zeros_like(self.weight)))
         at, of, script, flat, first = self.gram.get, [], [], [], []
-        for k, t in enumerate(new):
-            for p in (t,) if t.isalpha() else _LETTERS.findall(t):
-                of.append(k)
-                sid = self.script.get(script_of(p[0]), -1)
-                script.append(sid)
-                first.append(len(flat))
-                if sid >= 0:
-                    flat += [i for i in map(at, grams(p[:40])) if i is not None]
         self.rows[start : start + len(new)] = 0
-        self.weight[start : start + len(new)] = np.bincount(np.array(of, dtype=np.int64), minlength=len(new))
+        self.weight[start : start + len(new)] = 0
+        for k, t in enumerate(new):
+            for name, run in runs(t):
+                sid = self.script.get(name, -1)
+                for piece in pieces(run):
+                    if len(flat) > BLOCK:
+                        self._add(of, script, flat, first)
+                        of, script, flat, first = [], [], [], []
+                    of.append(start + k)
+                    script.append(sid)
+                    first.append(len(flat))
+                    if sid >= 0:
+                        flat += [i for i in map(at, piece) if i is not None]
+        self._add(of, script, flat, first)
+
+    def _add(self, of: list[int], script: list[int], flat: list[int], first: list[int]) -> None:
+        """Add what pieces say to the rows of their tokens."""
         if of:
-            first_ = np.array(first)
+            first_, of_ = np.array(first), np.array(of)
             sums = np.add.reduceat(np.concatenate((self.scores[flat], np.zeros((1, self.scores.shape[1]), np.float32))), first_, axis=0)
             empty = np.diff(np.append(first_, len(flat))) == 0
             sums[empty] = 0
             sums = np.clip(sums - sums.max(axis=1, keepdims=True), -MOST, 0) / 2 + self.allowed[script]  # overlapping n-grams tell less than independent ones
-            np.add.at(self.rows, start + np.array(of), sums)
+            np.add.at(self.rows, of_, sums)
+            np.add.at(self.weight, of_, 1)
 
     def index(self, tokens: list[str]) -> np.ndarray:
         """Row numbers of tokens in ``rows``."""
@@ -162,12 +194,13 @@ def fit(docs: DataFrame, train, sample: int = 8000, least: int = 2, features: in
         got: dict[str, Counter] = {}
         for batch in it:
             for t, l in zip(*rows_of(batch, "text", "lang"), strict=True):
-                words = Counter(w for x in t.lower().split() for w in _LETTERS.findall(x))
+                words = Counter(w for x in t.lower().split() for w in runs(x))
                 to = got.setdefault(l, Counter())
-                for w, k in words.items():
-                    to[f"\x05{script_of(w[0])}"] += k
-                    for g in grams(w[:40]):
-                        to[g] += k
+                for (script, w), k in words.items():
+                    for piece in pieces(w):
+                        to[f"\x05{script}"] += k
+                        for g in piece:
+                            to[g] += k
         for l, c in got.items():
             yield from batches({"lang": [l] * len(c), "gram": list(c), "n": list(c.values())}, schema)
 

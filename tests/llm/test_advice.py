@@ -2,7 +2,7 @@
 
 import random
 
-from factweave.llm import jaccard, toxicity
+from factweave.llm import jaccard, langid, toxicity
 
 DOC = "doc_id long, text string, `_id` long, h map<string,int>"
 
@@ -45,3 +45,25 @@ def test_short_terms_are_near():
     for _ in range(1000):
         w = word(1, 5)
         assert w in terms or trie.near(w) == terms & edits(w)
+
+
+def test_language_reads_whole_runs(spark):
+    rng = random.Random(8)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    zh, zz, ja = "的一是不了人我在有他", "這個們中來上大為和國", "のはをがにでとしたる"
+    rows = [(3 * k + j, say(letters, 200), lang) for k in range(40) for j, (letters, lang) in enumerate([(zh, "zh"), (zz, "zz"), (ja, "ja")])]
+    rows += [(500 + k, " ".join(say("abcde", 5) for _ in range(20)), "en") for k in range(40)]
+    odd = [(900, say(zh, 40) + say(zz, 400), None), (901, "abc" + say(ja, 300), None), (902, say(zz, 1 << 17) + say(zh, 1 << 18), None)]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(frame, langid.fit(frame, langid.remainder("doc_id", 4) != 2)).collect()}
+    assert all(got[k] == lang for k, _, lang in rows) and (got[900], got[901], got[902]) == ("zz", "ja", "zh")
+
+
+def test_every_gram_of_a_word_comes_once():
+    for n in (1, 2, 39, 40, 41, 42, 79, 80, 81, 82, 200):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        s = f"\x02{word}\x03"
+        want = ["\x04" + word, *(s[i : i + k] for k in (2, 3, 4) for i in range(len(s) - k + 1))]
+        assert sorted(langid.grams(word)) == sorted(want)
+        assert max(map(len, langid.pieces(word))) <= 3 * (langid.PIECE + 2)
+    assert list(langid.runs("abc社のx,人々")) == [("latin", "abc"), ("han", "社"), ("kana", "の"), ("latin", "x"), ("han", "人々")]
