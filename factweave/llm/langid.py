@@ -141,7 +141,7 @@ class Model:
         best = int(scores.sum(axis=0).argmax())
         gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
         low = np.minimum.accumulate(np.concatenate((np.zeros((1, size)), gain[:-1])), axis=0)
-        if (gain - low).max() <= self.penalty:  # no stretch gains what one switch costs: the path is constant
+        if 2 * (gain - low).max() <= self.penalty:  # k stretches gain at most what their k - 1 switches cost: the path is constant
             return np.full(n, best)
         back = np.empty((n, size), dtype=np.int16)
         own = list(range(size))

@@ -1,7 +1,10 @@
 """Cases of the first review."""
 
+import itertools
 import random
 
+import numpy as np
+
 from factweave.llm import jaccard, langid, toxicity
 
 DOC = "doc_id long, text string, `_id` long, h map<string,int>"
@@ -67,3 +70,13 @@ def test_every_gram_of_a_word_comes_once():
         assert sorted(langid.grams(word)) == sorted(want)
         assert max(map(len, langid.pieces(word))) <= 3 * (langid.PIECE + 2)
     assert list(langid.runs("abc社のx,人々")) == [("latin", "abc"), ("han", "社"), ("kana", "の"), ("latin", "x"), ("han", "人々")]
+
+
+def test_best_path_of_short_mixed_texts():
+    model = langid.Model(["a", "b", "c"], {}, {}, 12.0)
+    assert model.path(np.array([[10.8, -50, 0], [-50, 10.8, 0]])).tolist() == [0, 1]
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        scores = rng.normal(0, 6, (5, 3))
+        value = lambda p, s=scores: s[range(5), list(p)].sum() - 12 * np.count_nonzero(np.diff(p))
+        assert np.isclose(value(model.path(scores)), max(map(value, itertools.product(range(3), repeat=5))))
