@@ -7,8 +7,8 @@ There identical surroundings are joined first, and the suffixes of what is left
 sorting on the bucket pointers of later offsets, each refinement using the pointers that the ones before have updated.
 Windows in one bucket at full depth are equal; all but the earliest are repeats.
 
-Windows of very common cores do not meet at one task: each document group joins its own equal windows first, and the
-rest is dealt by hashes of single windows (128 bits).
+Windows of very common cores do not meet at one task: each document group joins its own equal windows first, letter by
+letter, and the distinct ones that are left meet those of other groups by hashes of whole windows, in the same suffix arrays.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import batches, group_count, mix, pack, rows_of, table, unpack
 
 #: Letters of an anchor.
 GRAM = 16
-#: Cores with more places than this are dealt by single windows.
+#: The windows of cores with more places than this are dealt singly, so that they do not meet at one task.
 COMMON = 10_000
+#: Letters of the q-grams that make the first buckets, and suffixes that are refined at once, but at least a bucket.
+GRAMS, CHUNK = 32, 1 << 16
 #: Bytes of text in one block of the anchor search.
 BLOCK = 1 << 19
 #: Stands for a null doc_id, before all others.
@@ -100,42 +102,80 @@ def runs(text: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np
     return first, last, anchor, key
 
 
-def equal_windows(text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """For each window its class of equal ones, by bucket-pointer refinement of the suffixes down to ``length``."""
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a text in order of their first ``length`` letters at least, and the codes of the 8 letters at each place.
+
+    Bucket-pointer refinement: buckets of equal q-grams are taken in order, some at a time; their suffixes are sorted by
+    the bucket pointers q letters later, which are those that earlier buckets have refined already, and what is still
+    together is refined again, further on, before the next buckets are begun.
+    """
     n = len(text)
-    q = 8
-    padded = np.concatenate((text, np.zeros(q, np.uint8)))
-    code = np.zeros(n, np.uint64)
-    for j in range(q):
-        code = code << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(code)
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    code = np.zeros(n + 8, np.uint64)
+    for j in range(8):
+        code[:n] = code[:n] << np.uint64(8) | padded[j : j + n]
+    order = np.argsort(code[:n])
     fresh = np.concatenate(([True], code[order][1:] != code[order][:-1]))
-    pointer = np.empty(n + length, np.int64)
-    pointer[n:] = n
+    pointer = np.empty(n + max(length, GRAMS) + 8, np.int64)
+    pointer[n:] = -1
     pointer[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
 
-    def refine(open_: np.ndarray, depth: int) -> None:
-        """Sort the suffixes of buckets that hold several by the pointers ``depth`` later; then those still together."""
-        if depth * 2 > length or not len(open_):
-            return
-        later = pointer[open_ + depth]
-        by = np.argsort(pointer[open_] * (n + 1) + later)
+    def split(open_: np.ndarray, offset: int) -> np.ndarray:
+        """Sort suffixes of whole buckets by the pointers at an offset; returns those still together with others."""
+        later = pointer[open_ + offset]
+        by = np.argsort(pointer[open_] * (n + 2) + later)
         sub, later = open_[by], later[by]
         own = pointer[sub]
         bucket = np.concatenate(([True], own[1:] != own[:-1]))
         part = bucket | np.concatenate(([True], later[1:] != later[:-1]))
         k = np.arange(len(sub))
-        pointer[sub] = own + np.maximum.accumulate(np.where(part, k, 0)) - np.maximum.accumulate(np.where(bucket, k, 0))
+        head = np.maximum.accumulate(np.where(bucket, k, 0))
+        order[own + k - head] = sub
+        pointer[sub] = own + np.maximum.accumulate(np.where(part, k, 0)) - head
         size = np.diff(np.concatenate((np.flatnonzero(part), [len(sub)])))
-        refine(sub[np.repeat(size > 1, size)], depth * 2)
+        return sub[np.repeat(size > 1, size)]
 
     size = np.diff(np.concatenate((np.flatnonzero(fresh), [n])))
-    refine(order[np.repeat(size > 1, size)], q)
-    depth = q
-    while depth * 2 <= length:
-        depth *= 2
-    pair = pointer[start] * (n + 1) + pointer[start + length - depth]
-    return np.unique(pair, return_inverse=True)[1]
+    open_ = order[np.repeat(size > 1, size)]
+    q = 8
+    while q < GRAMS and len(open_):  # q-grams of twice the letters
+        open_ = split(open_, q)
+        q *= 2
+    at = 0
+    while at < len(open_) and q < length:
+        to = min(at + CHUNK, len(open_))
+        if to < len(open_):
+            own = pointer[open_[to - 1]]
+            to += int(np.searchsorted(pointer[open_[to:]], own, side="right"))
+        chunk, offset = open_[at:to], q
+        while len(chunk) and offset < length:
+            chunk = split(chunk, offset)
+            offset += q
+        at = to
+    return order, code
+
+
+def equal_at(text: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at two lists of places are equal, letter by letter."""
+    same = np.ones(len(one), bool)
+    for j in range(length):
+        same &= text[one + j] == text[two + j]
+    return same
+
+
+def equal_windows(text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """For each window its class of equal ones: neighbours in the suffix array whose common prefix is long enough, byte by byte."""
+    order, code = suffix_order(text, length)
+    one, two = order[:-1], order[1:]
+    same = np.maximum(one, two) + length <= len(text)
+    at = np.flatnonzero(same)
+    for j in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        at = at[code[one[at] + j] == code[two[at] + j]]
+    same = np.zeros(len(text), bool)
+    same[at + 1] = True
+    classes = np.empty(len(text), np.int64)
+    classes[order] = np.cumsum(~same)
+    return classes[start]
 
 
 def first_of(classes: np.ndarray) -> np.ndarray:
@@ -228,12 +268,13 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
     levels = parts.groupBy("db").applyInPandas(keys_of, "kb int, db int, blob binary").groupBy("kb").applyInPandas(repeated, "db int, kb int, blob binary")
 
     def surroundings(key, docs, marks):
-        """kind 0: places of repeated cores with their texts; 1: single windows of common cores; 2: pieces found here."""
+        """kind 0: places of repeated cores with their texts, or single windows of common cores; 2: pieces found here."""
         group = Group(docs["blob"])
         found = {k: unpack(b) for k, b in zip(marks["kb"], marks["blob"], strict=True)}
         used = dict.fromkeys(found, 0)
         send: dict[int, list] = defaultdict(list)
-        single: list[tuple] = []
+        seen: set[bytes] = set()  # windows of common cores
+        own: list[tuple] = []
         for k, text, offset, (first, last, anchor, keys) in group.runs(length):
             part = (keys % np.uint64(groups)).astype(np.int64)
             level = np.zeros(len(keys), np.uint8)
@@ -253,28 +294,30 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
                 size = last[at] - first[at] + 1
                 start = np.repeat(first[at], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 d = np.repeat(doc[at], size)
-                single.append((Rolling(text).at(start, length), Rolling(text, 1).at(start, length), k + d, start - offset[d]))
+                h = Rolling(text).at(start, length)
+                by = np.argsort(h, kind="stable")  # in order of place where equal
+                new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+                head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                gone = ~new & equal_at(text, start[by], start[head], length)
+                again = np.zeros(len(h), bool)
+                again[by[gone]] = True
+                for j in by[~gone].tolist():
+                    w = body[start[j] : start[j] + length]
+                    if w in seen:
+                        again[j] = True
+                    else:
+                        seen.add(w)
+                        key_ = int(h[j])
+                        send[key_ % groups].append((key_, k + int(d[j]), int(start[j] - offset[d[j]]), 0, w))
+                if again.any():
+                    own.append(pieces(again, start - offset[d], k + d, length))
         ids = np.array([d[0] for d in group.docs], np.int64)
-        rows = []
+        rows = [(-1, 2, pack(tuple(np.concatenate(x) for x in zip(*own, strict=True))))] if own else []
         for p, got in send.items():
             key_, d, s, rel, ctx = zip(*got, strict=True)
             d = np.array(d, np.int32)
             blob = np.array(key_, np.uint64), d, ids[d], np.array(s, np.int64), np.array(rel, np.uint8 if length < 256 else np.int32), np.array([len(c) for c in ctx], np.int32), b"".join(ctx)
             rows.append((p, 0, pack(blob)))
-        if single:
-            a, b, d, s = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((s, d, b, a))
-            same = np.concatenate(([False], (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])))
-            gone = np.zeros(len(a), bool)
-            gone[order[same]] = True
-            rows.append((-1, 2, pack(pieces(gone, s, d, length))))
-            left = np.flatnonzero(~gone)
-            part = (a[left] % np.uint64(groups)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(groups + 1))
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                x = left[by[cuts[p] : cuts[p + 1]]]
-                rows.append((p, 1, pack((a[x], b[x], d[x].astype(np.int32), ids[d[x]], s[x]))))
         return pd.DataFrame({"kb": [r[0] for r in rows], "db": key[0], "kind": [r[1] for r in rows], "blob": [r[2] for r in rows]}).astype({"kb": "int32", "db": "int32", "kind": "int32"})
 
     sent = parts.groupBy("db").cogroup(levels.groupBy("db")).applyInPandas(surroundings, "kb int, db int, kind int, blob binary")
@@ -321,17 +364,6 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
                 for j, a, b in zip(*(v.tolist() for v in pieces(gone, base[own] + inner, own, length)), strict=True):
                     out[dbs[block[j]]].append((docs[block[j]], a, b))
                 at = to
-        single = frame[frame["kind"] == 1]
-        if len(single):
-            got = [(np.full(len(v[0]), db), *v) for db, v in ((db, unpack(b)) for db, b in zip(single["db"], single["blob"], strict=True))]
-            db, a, b, d, i, s = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((s, d, db, i, b, a))
-            same = np.concatenate(([False], (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])))
-            gone = order[same]
-            gone = gone[np.lexsort((s[gone], d[gone], db[gone]))]
-            for g in np.unique(db[gone]).tolist():
-                x = gone[db[gone] == g]
-                out[g] += zip(*(v.tolist() for v in pieces(np.ones(len(x), bool), s[x], d[x].astype(np.int64), length)), strict=True)
         keys = list(out)
         return pd.DataFrame({"db": np.array(keys, np.int32), "blob": [pack(tuple(np.array(v, np.int64) for v in zip(*out[k], strict=True))) for k in keys]})
 
