@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,10 +39,12 @@ def unpack(blob: bytes):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir. Only where it is unset, as in local tests, an own one."""
+    """The folder all machines share: spark.checkpoint.dir. Only where it is unset in a local session, an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="factweave-")
     return shared_dir.own
@@ -54,10 +57,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def group_count(df: DataFrame, text: str = "text") -> int:
-    """How many groups to deal the texts to: GROUP_BYTES each, at least the session's shuffle partitions."""
+def group_count(df: DataFrame, text: str = "text", least: int | None = None) -> int:
+    """How many groups to deal the texts to: ``least`` or else the session's shuffle partitions at least.
+
+    A group holds GROUP_BYTES; beyond 100 GB it grows with the root of the corpus (1 GB at 100 TB), as groups that send
+    each other blobs would make more of these than there is to send.
+    """
     total = df.select(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP_BYTES))
+    size = max(GROUP_BYTES, math.sqrt(total * 1e4))
+    return max(least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
