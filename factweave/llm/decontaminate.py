@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, mix, rows_of, table
+from .common import batches, mix, table, written
 
 #: Bytes of benchmark text in one broadcast block; larger benchmarks are worked through in several blocks.
 BLOCK_BYTES = 16 << 20
@@ -100,40 +101,65 @@ def _blocks(bench: DataFrame, item_id: str, text: str, size: int) -> Iterator[li
     yield block
 
 
-def scan(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged), items (sorted item ids).
+def _merged(old: list | None, spans: list[tuple[int, int]]) -> list[int]:
+    both = spans + (list(zip(old[::2], old[1::2], strict=True)) if old else [])
+    return [x for s in _union(both) for x in s]
 
-    A window is ``n`` consecutive words of an item, or the whole item if it has fewer. Null and empty texts have no
-    words and no hits; an empty benchmark hits nothing; repeated rows each get their row when one block holds the
-    benchmark, and one row for each distinct (doc_id, text) and its count otherwise, expanded again. Other columns are not read.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_h"), F.col(text).cast("binary").alias("body"))
-    out, blocks = None, 0
-    for block in _blocks(bench, item_id, item_text, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes, or one item
 
-        def run(it, held=held):
+def _held_against(docs: DataFrame, bench: DataFrame, n: int, text: str, item_id: str, item_text: str, block_bytes: int, finish, schema: T.StructType) -> DataFrame:
+    """``finish`` of each batch of documents with their word counts, hit word ranges and items, as rows of ``schema``.
+
+    Each block of items is broadcast alone; between blocks the documents are written with what was found so far.
+    """
+    spark = docs.sparkSession
+    columns = docs.schema.names
+    types = T.StructType([*docs.schema.fields, *(T.StructField(f"_found_{k}", t) for k, t in enumerate((T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType()))))])
+    blocks = _blocks(bench, item_id, item_text, block_bytes)
+    block, frame, first = next(blocks), docs, True
+    while block is not None:
+        following = next(blocks, None)
+        held = spark.sparkContext.broadcast(block)  # at most block_bytes, or one item
+
+        def run(it, held=held, first=first, last=following is None):
             index = Index(held.value, n)
+            at = columns.index(text)
             for batch in it:
-                got = {f.name: [] for f in schema}
-                for i, h, body in zip(*rows_of(batch, "doc_id", "_h", "body"), strict=True):
-                    n_words, spans, items = index.hits(body or b"")
-                    for name, v in zip(schema.names, (i, h, n_words, [x for s in _union(spans) for x in s], sorted(items)), strict=True):
-                        got[name].append(v)
-                yield from batches(got, schema)
+                bodies = batch.column(at).to_pylist()
+                old = [[None] * len(bodies)] * 3 if first else [batch.column(len(columns) + k).to_pylist() for k in range(3)]
+                counts, spans, items = [], [], []
+                for body, s, i in zip(bodies, *old[1:], strict=True):
+                    n_words, hits, found = index.hits(body if isinstance(body, bytes) else (body or "").encode())
+                    counts.append(n_words)
+                    spans.append(_merged(s, hits))
+                    items.append(sorted({*(i or []), *found}))
+                own = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], schema=pa.schema(list(batch.schema)[: len(columns)]))
+                if last:
+                    yield from finish(own, counts, spans, items)
+                else:
+                    found = (pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *found], names=[*columns, *(f"_found_{k}" for k in range(3))])
+
+        frame = frame.mapInArrow(run, schema if following is None else types)
+        if following is not None:
+            frame = written(frame)
+        block, first = following, False
+    return frame
+
 
-        part = picked.mapInArrow(run, "doc_id long, _h long, n_words long, spans array<int>, items array<string>")
-        out, blocks = part if out is None else out.unionByName(part), blocks + 1
-    if blocks > 1:
-        merged = out.groupBy("doc_id", "_h").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("_n"))
+def scan(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document: doc_id, n_words, spans (hit word ranges, end exclusive, merged), items (sorted item ids).
 
-        @F.udf("array<int>")
-        def union(flat):
-            return [x for s in _union(list(zip(flat[::2], flat[1::2], strict=True))) for x in s]
+    A window is ``n`` consecutive words of an item, or the whole item if it has fewer. Null and empty texts have no
+    words and no hits; an empty benchmark hits nothing; repeated rows each get their row. Other columns are not read.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    types = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
-        out = merged.select("doc_id", "n_words", union("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
-    return out.select("doc_id", "n_words", "spans", "items")
+    def finish(batch, counts, spans, items):
+        yield from batches({"doc_id": batch.column(0).to_pylist(), "n_words": counts, "spans": spans, "items": items}, schema)
+
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    return _held_against(picked, bench, n, "body", item_id, item_text, block_bytes, finish, types)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,34 +171,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "documents") -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, n: int = 10, mode: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without contamination, with all their columns.
 
     ``documents`` drops each document that holds a window of the benchmark; ``spans`` keeps them all and cuts the hit
-    words, with what stands between two hit words, out of ``text``. Null texts stay.
+    words, with what stands between two hit words, out of ``text``. Null texts stay, and so do all documents where the
+    benchmark is empty. Repeated rows are treated alike.
     """
-    columns = docs.columns
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(bench, "item_id", "text", BLOCK_BYTES)]
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode}")
 
-    def run(it):
-        indexes = [Index(h.value, n) for h in held]
-        for batch in it:
-            (texts,) = rows_of(batch, "text")
-            keep, new = [], []
-            for t in texts:
-                body = (t or "").encode()
-                spans = _union([s for x in indexes for s in x.hits(body)[1]])
-                keep.append(not spans)
-                new.append(t if not spans else cut(body, spans).decode())
-            if mode == "spans":
-                at = batch.schema.get_field_index("text")
-                yield batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
-            else:
-                yield batch.filter(pa.array(keep, type=pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema).select(columns)
+    def finish(batch, counts, spans, items):
+        if mode == "documents":
+            yield batch.filter(pa.array([not s for s in spans], type=pa.bool_()))
+        else:
+            at = batch.schema.get_field_index("text")
+            new = [t if not s else cut(t.encode(), list(zip(s[::2], s[1::2], strict=True))).decode() for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
+
+    return _held_against(docs, bench, n, "text", "item_id", "text", block_bytes, finish, docs.schema)
 
 
 def cut(body: bytes, spans: list[tuple[int, int]]) -> bytes:
