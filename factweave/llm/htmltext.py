@@ -3,12 +3,14 @@
 A forgiving parser makes a tree; paragraphs pass points for length and commas to their ancestors, half as many with each
 step up; a container's points are discounted by its link density and weighed by its tag and names. The best container is
 kept with those siblings that score alike, without what is marked as navigation, notice, advert, form or comment.
+Pages of any depth are read and weighed without recursion, in one pass over their markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,152 +18,259 @@ from pyspark.sql import functions as F
 
 from .common import batches, rows_of, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-#: Elements nested deeper than this are read as siblings.
-DEEPEST = 500
-_ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*)?")
+_VALUE = re.compile(r"[^\s>]*")
 #: Element names by role (fixed values of the markup language).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg noembed noframes xmp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 DROP = set("script style noscript template textarea title iframe svg noembed noframes xmp nav footer aside form button select option input menu dialog head object embed canvas audio video label fieldset".split())
 PARAGRAPH = set("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption div section article main".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "th", "tr", "thead", "tfoot", "caption"}
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|combx|comments?|commentlist|disqus|community|consent|cookies?|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|alert|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|search|share|sharing|shoutbox|sidebar|side|skip|skyscraper|social|sponsor\w*|subscribe|tags|toolbar|tweet|twitter|widget|login|signup|toc)(?=$|[\s_-])", re.I)
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|blog|content|entry|hentry|main|page|post|story|text)(?=$|[\s_-])", re.I)
+#: Words of names that mark what is no part of a main text, those of what is, and those that only mention others (fixed values).
+_BAD = re.compile(r"ads?|advert\w*|adbox|banner|breadcrumbs?|combx|comments?|commentlist|disqus|community|consent|cookies?|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|alert|pager|pagination|popup|promo\w*|related|remark|replies|reply|respond|rss|search|share|sharing|shoutbox|sidebar|side|skip|skyscraper|social|sponsor\w*|subscribe|tags|toolbar|tweet|twitter|widget|login|signup|toc", re.I)
+_GOOD = re.compile(r"article\w*|body|blog|content|entry|hentry|main|page|post|story|text", re.I)
+_BESIDE = {"with", "has", "no", "without", "hide", "show"}
+_COMMENTS = re.compile(r"comment|disqus|repl(?:y|ies)|respond|remark|shoutbox", re.I)
 _BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _SPACE = re.compile(r"\s+")
 
 
+def judged(names: str) -> int:
+    """1 if an element's class and id speak for a main text, -1 against it, -2 for reader comments, 0 for neither."""
+    good = bad = False
+    for name in names.split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if any(x.lower() in _BESIDE for x in parts):
+            continue
+        g, b = any(_GOOD.fullmatch(x) for x in parts), any(_BAD.fullmatch(x) for x in parts)
+        if b and (not g or _COMMENTS.search(name)):
+            bad = True
+        good |= g and not b
+    if bad and not good:
+        return -2 if _COMMENTS.search(names) else -1
+    return int(good and not bad)
+
+
 class Node:
-    __slots__ = ("children", "depth", "names", "own", "parent", "role", "score", "tag")
-
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
-        self.depth = parent.depth + 1 if parent else 0
-        names, self.role, self.own = [], "", True
-        if attrs and not attrs.isspace():
-            for name, a, b, c in _ATTR.findall(attrs):
-                name, v = name.lower(), a or b or c
-                if name in ("class", "id"):
-                    names.append(v)
-                elif name == "role":
-                    self.role = v.lower()
-                elif name == "hidden":
-                    self.own = False
-        self.names = " ".join(names)
+    __slots__ = ("children", "gone", "inside", "letters", "names", "own", "parent", "role", "score", "tag")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.children, self.score, self.letters = tag, parent, [], 0.0, 0
+        self.names, self.role, self.own, self.gone = "", "", True, False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+
+
+def _attributes(text: str, pos: int, node: Node | None) -> int:
+    """Read the attributes of a tag, from after its name, into the node; where the tag ends, -1 if it never does."""
+    n = len(text)
+    names = []
+    while pos < n:
+        if text[pos] == ">":
+            if node is not None and names:
+                node.names = " ".join(names)
+            return pos + 1
+        m = _ATTR.match(text, pos)
+        if m is None:  # only space and slashes are left before the end
+            pos = _next(text, pos)
+            continue
+        value, pos = "", m.end()
+        if "=" in m[0][len(m[0]) - (m.end() - m.end(1)) :]:
+            if pos < n and text[pos] in "\"'":
+                end = text.find(text[pos], pos + 1)
+                if end < 0:
+                    return -1
+                value, pos = text[pos + 1 : end], end + 1
+            else:
+                v = _VALUE.match(text, pos)
+                value, pos = v[0], v.end()
+        if node is not None:
+            name = m[1].lower()
+            if name in ("class", "id"):
+                names.append(html.unescape(value))
+            elif name == "role":
+                node.role = value.lower()
+            elif name == "hidden":
+                node.own = False
+    return -1
+
+
+def _next(text: str, pos: int) -> int:
+    while pos < len(text) and text[pos] != ">" and (text[pos].isspace() or text[pos] == "/"):
+        pos += 1
+    return pos
 
 
 def parse(text: str) -> Node:
-    """The tree of a page; unclosed and misplaced tags are put right roughly as browsers do."""
-    root = at = Node("#root", "", None)
-    pos = 0
-
-    def near(tags, stops):
-        n = at
-        while n is not root and n.tag not in tags:
-            if n.tag in stops:
-                return None
-            n = n.parent
-        return n if n is not root else None
-
-    while m := _TOKEN.search(text, pos):
-        if m.start() > pos:
-            at.children.append(html.unescape(text[pos : m.start()]))
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    """The tree of a page; unclosed and misplaced tags are put right roughly as browsers do. A tag that never ends is dropped.
+
+    One pass forward: open elements are held by tag, so that no tag looks through all that are open.
+    """
+    root = Node("#root", None)
+    stack, opened = [root], defaultdict(list)
+    pos, n = 0, len(text)
+
+    def depth(tags, stops) -> int:
+        """The depth of the innermost open element with one of the tags, 0 if there is none or a stop is further in."""
+        found = max((opened[t][-1] for t in tags if opened[t]), default=0)
+        return found if found >= max((opened[t][-1] for t in stops if opened[t]), default=0) else 0
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            opened[stack.pop().tag].pop()
+
+    def say(upto: int) -> None:
+        if upto > pos:
+            stack[-1].children.append(html.unescape(text[pos:upto]))
+
+    ends: dict[str, re.Pattern] = {}
+    at = 0  # where the search for a tag goes on, at pos or after it
+    while (at := text.find("<", at)) >= 0:
+        after = text[at + 1 : at + 2]
+        if after == "!" or after == "?":
+            say(at)
+            mark, skip = ("-->", 4) if text.startswith("<!--", at) else (">", 2)
+            end = text.find(mark, at + skip)
+            if end < 0:
+                return root
+            pos = at = end + len(mark)
+            continue
+        closing = after == "/"
+        m = _NAME.match(text, at + 1 + closing)
+        if m is None:
+            if closing:  # no name: read as a comment
+                say(at)
+                end = text.find(">", at)
+                if end < 0:
+                    return root
+                pos = at = end + 1
+            else:
+                at += 1
             continue
-        if m[1]:
-            if tag == "p" and not near({"p"}, BLOCK - {"p"}):
+        say(at)
+        tag = m[0].lower()
+        node = None if closing else Node(tag, stack[-1])
+        end = _attributes(text, m.end(), node)
+        if end < 0:
+            return root
+        short, pos, at = text[end - 2] == "/", end, end
+        if closing:
+            if tag == "p" and not depth({"p"}, BLOCK - {"p"}):
                 continue
-            n = near({tag}, {"td", "th", "table", "body"} - {tag} if tag not in ("html", "body", "table", "tr", "tbody", "thead", "tfoot") else set())
-            if n is not None:
-                at = n.parent
+            if to := depth({tag}, {"td", "th", "table", "body"} - {tag} if tag not in ("html", "body", "table", "tr", "tbody", "thead", "tfoot") else ()):
+                close(to)
             continue
-        if tag in CLOSES_P and (n := near({"p"}, {"td", "th", "table", "button", "object"})):
-            at = n.parent
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", at.tag):
-            at = at.parent
-        if tag in ENDS and (n := near(*ENDS[tag])):
-            at = n.parent
-        node = Node(tag, m[3], at)
-        at.children.append(node)
+        if tag in CLOSES_P and (to := depth({"p"}, {"td", "th", "table", "button", "object"})):
+            close(to)
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            close(len(stack) - 1)
+        if tag in ENDS and (to := depth(*ENDS[tag])):
+            close(to)
+        node.parent = stack[-1]
+        node.inside = node.parent.inside or node.parent.tag in ("article", "main")
+        stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(text, pos)
-            pos = end.end() if end else len(text)
-        elif tag not in VOID and node.depth < DEEPEST and not (m[3].endswith("/") and tag not in BLOCK):
-            at = node
-    if pos < len(text):
-        at.children.append(html.unescape(text[pos:]))
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+            found = ends[tag].search(text, pos)
+            if found is None:
+                return root
+            pos = at = found.end()
+        elif tag not in VOID and not (short and tag not in BLOCK):
+            opened[tag].append(len(stack))
+            stack.append(node)
+    say(n)
     return root
 
 
-def dropped(n: Node) -> bool:
-    """Whether an element is no part of a main text by its tag, role or names."""
-    if n.tag in DROP or not n.own or n.role in _BAD_ROLES:
-        return True
-    if n.tag == "header":
-        return not _inside(n, {"article", "main"})
-    return bool(n.names) and n.tag not in ("html", "body", "article", "main") and bool(_BAD.search(n.names)) and not _GOOD.fullmatch(n.names)
-
-
-def _inside(n: Node, tags: set) -> bool:
-    while (n := n.parent) is not None:
-        if n.tag in tags:
-            return True
-    return False
-
-
-def _measure(n: Node, paragraphs: list, linked: bool = False) -> tuple[int, int, int, bool]:
-    """Letters, letters in links and commas below a node, and whether it has blocks; collects its paragraphs."""
-    letters = links = commas = 0
-    inline_letters = inline_commas = 0
-    blocks = False
-    for c in n.children:
-        if isinstance(c, str):
-            size, found = len(c.strip()), c.count(",") + c.count("、") + c.count("，")
-            letters += size
-            commas += found
-            inline_letters += size
-            inline_commas += found
-            links += size * linked
-        elif not dropped(c):
-            a, b, d, e = _measure(c, paragraphs, linked or c.tag == "a")
-            letters, links, commas = letters + a, links + b, commas + d
-            if c.tag in BLOCK or e:
-                blocks = True
+def _walk(root: Node):
+    """(node, whether it begins) of an element and all below it, in order; elements that are gone are left out."""
+    stack = [(root, True)]
+    while stack:
+        n, begins = stack.pop()
+        yield n, begins
+        if begins and not isinstance(n, str):
+            stack.append((n, False))
+            stack.extend((c, True) for c in reversed(n.children) if isinstance(c, str) or not c.gone)
+
+
+def mark(root: Node) -> None:
+    """Say which elements are no part of a main text: by tag and role, and by names unless they hold most of the page."""
+    todo, named = [root], []
+    while todo:
+        n = todo.pop()
+        n.gone = n.tag in DROP or not n.own or n.role in _BAD_ROLES or n.tag == "header" and not n.inside
+        if not n.gone:
+            if n.names and n.tag not in ("html", "body", "article", "main") and (by := judged(n.names)) < 0:
+                named.append((n, by))
+            todo.extend(c for c in n.children if not isinstance(c, str))
+    if not named:
+        return
+    for n, begins in _walk(root):
+        if not isinstance(n, str) and not begins:
+            n.letters = sum(len(c.strip()) if isinstance(c, str) else c.letters for c in n.children if isinstance(c, str) or not c.gone and c.tag != "a")
+    for n, by in named:
+        n.gone = by == -2 or 2 * n.letters <= root.letters
+
+
+def measure(root: Node) -> list[tuple[Node, int, int]]:
+    """The paragraphs with their letters and commas outside inner blocks; sets the link density of every element as its score."""
+    paragraphs = []
+    linked, stack = 0, []
+    for n, begins in _walk(root):
+        if isinstance(n, str):
+            if begins:
+                size, found = len(n.strip()), n.count(",") + n.count("、") + n.count("，")
+                top = stack[-1]
+                for j, v in enumerate((size, size * bool(linked), found, 0, size, found)):
+                    top[j] += v
+            continue
+        if begins:
+            stack.append([0, 0, 0, 0, 0, 0])  # letters, those in links, commas, whether blocks are inside, letters and commas outside them
+            linked += n.tag == "a"
+            continue
+        linked -= n.tag == "a"
+        letters, links, commas, blocks, inline, inline_commas = stack.pop()
+        if n.tag in PARAGRAPH and inline:
+            paragraphs.append((n, inline, inline_commas))
+        n.score = links / letters if letters else 0.0
+        if stack:
+            top = stack[-1]
+            top[0] += letters
+            top[1] += links
+            top[2] += commas
+            if n.tag in BLOCK or blocks:
+                top[3] = 1
             else:
-                inline_letters, inline_commas = inline_letters + a, inline_commas + d
-    if n.tag in PARAGRAPH and inline_letters:
-        paragraphs.append((n, inline_letters, inline_commas))
-    n.score = links / letters if letters else 0.0  # the link density, until points are passed
-    return letters, links, commas, blocks
+                top[4] += letters
+                top[5] += commas
+    return paragraphs
 
 
-def blocks_of(n: Node, out: list[str], line: list[str]) -> None:
-    """Append the texts of the blocks below a node; ``line`` is the block being filled."""
+def blocks_of(root: Node) -> list[str]:
+    """The texts of the blocks of an element, in order."""
+    out: list[str] = []
+    line: list[str] = []
 
     def flush():
         if s := _SPACE.sub(" ", "".join(line)).strip():
             out.append(s)
         line.clear()
 
-    for c in n.children:
-        if isinstance(c, str):
-            line.append(c)
-        elif c.tag == "br":
-            line.append(" ")
-        elif not dropped(c):
-            if c.tag in BLOCK:
-                flush()
-            blocks_of(c, out, line)
-            if c.tag in BLOCK:
-                flush()
-    if n.tag in BLOCK or n.tag == "#root":
-        flush()
+    for n, begins in _walk(root):
+        if isinstance(n, str):
+            if begins:
+                line.append(n)
+        elif n.tag == "br":
+            line.append(" " * begins)
+        elif n.tag in BLOCK:
+            flush()
+    flush()
+    return out
 
 
 def main_text(text: str | None) -> str:
@@ -169,23 +278,21 @@ def main_text(text: str | None) -> str:
     if not text:
         return ""
     root = parse(text)
-    paragraphs: list[tuple[Node, int, int]] = []
-    _measure(root, paragraphs)
+    mark(root)
     points: dict[int, list] = {}
 
     def give(n: Node, score: float) -> None:
         if id(n) not in points:
             start = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0, "body": -5.0, "html": -10.0, "#root": -20.0}.get(n.tag, 0.0)
-            if n.names and _GOOD.search(n.names):
-                start += 25.0
+            start += 25.0 * judged(n.names) if n.names else 0.0
             if n.role in ("main", "article"):
                 start += 25.0
             points[id(n)] = [n, start]
         points[id(n)][1] += score
 
-    for n, letters, commas in paragraphs:
+    for n, letters, commas in measure(root):
         score = 1 + commas + min(letters / 100, 3)
-        if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li"):
+        if n.tag in HEADINGS or n.tag == "li":
             score = min(score, 1) / 2
         to, share = (n if n.tag in ("div", "section", "article", "main", "td") else n.parent), 1.0
         while to is not None and share > 0.05:
@@ -193,30 +300,22 @@ def main_text(text: str | None) -> str:
             to, share = to.parent, share / 2
     ranked = [(s * (1 - n.score), -k, n) for k, (n, s) in enumerate(points.values())]
     if not ranked:
-        best, kept = root, [root]
+        kept: list = [root]
     else:
         top, _, best = max(ranked, key=lambda x: x[:2])
         kept = [best]
         if best.parent is not None:
             by = {id(n): s for s, _, n in ranked}
             least = max(10.0, top * 0.2)
-            kept = []
-            for c in best.parent.children:
-                if c is best or not isinstance(c, str) and not dropped(c) and (by.get(id(c), 0) >= least or c.tag in ("article", "p", "h1") and _long(c)):
-                    kept.append(c)
-    out: list[str] = []
-    for n in kept:
-        blocks_of(n, out, line := [])
-        if s := _SPACE.sub(" ", "".join(line)).strip():
-            out.append(s)
-    return "\n".join(out)
+            beside = [c for c in best.parent.children if not isinstance(c, str) and not c.gone]
+            sure = [k for k, c in enumerate(beside) if c is best or by.get(id(c), 0) >= least or c.tag in ("article", "p", "h1") and _long(c)]
+            kept = [c for k, c in enumerate(beside) if k in set(sure) or sure[0] < k < sure[-1] and c.score < 0.5]  # what stands between kept ones is kept
+    return "\n".join(s for n in kept for s in blocks_of(n))
 
 
 def _long(n: Node) -> bool:
     """Whether a paragraph beside the best container is one of the text: long, or a sentence, with few links."""
-    out: list[str] = []
-    blocks_of(n, out, line := [])
-    s = " ".join([*out, *line])
+    s = " ".join(blocks_of(n))
     return n.tag in ("article", "h1") and bool(s) or n.score < 0.25 and len(s) > 80 or n.score == 0 and bool(re.search(r"\.( |$)", s))
 
 
