@@ -3,7 +3,9 @@
 Words that toxic training texts use significantly more than clean ones make a lexicon with a weight for each term. The
 lexicon is a trie; a word's Levenshtein automaton (bit-parallel, one error) runs along it, so misspelled terms match
 too, with a weight of their own learned the same way. It also reads tokens with their digits and symbols inside, as in
-"idi0t"; few of these are words, so they have a third weight, which starts at that of the term. A window around each match tells quotation from abuse.
+"idi0t"; few of these are words, so they have a third weight, which starts at that of the term. A window around each
+match tells quotation from abuse: marks that close in it, or an open mark and a word that clean texts use beside the terms.
+Quoted matches have features, and so learned weights, of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 #: Words on each side that are looked at for quotation.
 WINDOW = 12
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
-#: Words that report speech of others (fixed values).
-REPORTS = {"said", "says", "wrote", "quote", "quoted", "quoting", "called", "reported", "dit", "écrit", "cité", "sagte", "schrieb", "zitat", "dijo", "escribió", "cita"}
+#: Features of a text.
+FEATURES = 9
 
 
 class Trie:
@@ -86,8 +87,8 @@ class Trie:
 class Model:
     """Weights of the terms, exact, misspelled and broken by a digit or symbol, and of the features of a text's matches."""
 
-    def __init__(self, exact: dict[str, float], fuzzy: dict[str, float], quoted: float, weights: list[float], broken: dict[str, float] | None = None):
-        self.exact, self.fuzzy, self.quoted, self.weights = exact, fuzzy, quoted, weights
+    def __init__(self, exact: dict[str, float], fuzzy: dict[str, float], reports: frozenset, weights: list[float], broken: dict[str, float] | None = None):
+        self.exact, self.fuzzy, self.reports, self.weights = exact, fuzzy, reports, weights
         self.broken = exact if broken is None else broken
         self.trie = Trie(exact)
         self.known: dict[str, tuple] = {}
@@ -133,29 +134,37 @@ class Model:
         if not (opened or tokens[k][0] in _OPEN):
             return False
         closes = any(any(c in _CLOSE for c in t[1 if j == 0 else 0 :]) for j, t in enumerate(after))
-        return closes or any(t.strip(",:.") in REPORTS for t in before)
+        return closes or any(_ENDS.sub("", t) in self.reports for t in before)
+
+    def context(self, text: str) -> set[str]:
+        """The words beside exact terms, within the window."""
+        tokens, out = text.lower().split(), set()
+        for k, _, kind in self.matches(text):
+            if not kind:
+                out.update(_ENDS.sub("", t) for t in tokens[max(0, k - WINDOW) : k])
+        return out
 
     def features(self, text: str | None, found: list | None = None) -> list[float]:
-        """1, then of the matches: log-odds of their noisy-or (the three strongest terms), how many there are, exact and
-        misspelled, and how dense they are. A quoted match counts ``quoted`` of one, a broken one as exact by its weight."""
+        """1, then of the matches: log-odds of the strongest term and of the noisy-or of all terms, how many there are, exact
+        and misspelled, how dense they are, how many strong terms; of the quoted ones log-odds and how many there are. A broken match counts by its weight."""
         found = (self.matches(text) if text else []) if found is None else found
         if not found:
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * (FEATURES - 1)
         tokens = text.lower().split()
-        marks = any(c in _OPEN for c in text)
-        best: dict[str, float] = {}
-        counts = [0.0, 0.0]
+        marks = any(c in text for c in _OPEN)
+        best: tuple[dict[str, float], dict[str, float]] = ({}, {})
+        counts, quoted = [0.0, 0.0], 0.0
         for k, term, kind in found:
-            part = self.quoted if marks and self.in_quotes(tokens, k) else 1.0
-            p = part * (self.exact, self.fuzzy, self.broken)[kind][term]
-            best[term] = max(best.get(term, 0.0), p)
-            counts[kind % 2] += part if kind < 2 else p / self.exact[term]
-        clean = 1.0
-        for p in sorted(best.values(), reverse=True)[:3]:
-            clean *= 1 - p
-        odds = math.log(max(1 - clean, 1e-3) / max(clean, 1e-3))
-        strong = sum(p for p in best.values() if p > 0.5)
-        return [1.0, odds + 7, math.log1p(counts[0]), math.log1p(counts[1]), math.log1p(1000 * sum(counts[:1]) / len(tokens)), math.log1p(strong)]
+            p = (self.exact, self.fuzzy, self.broken)[kind][term]
+            own = 1.0 if kind < 2 else p / self.exact[term]
+            if inside := marks and self.in_quotes(tokens, k):
+                quoted += own
+            else:
+                counts[kind % 2] += own
+            best[inside][term] = max(best[inside].get(term, 0.0), p)
+        odds = [math.log(max(p, 1e-3) / max(1 - p, 1e-3)) + 7 for p in (max(best[0].values(), default=0.0), 1 - math.prod(1 - p for p in best[0].values()), 1 - math.prod(1 - p for p in best[1].values()))]
+        strong = sum(p for p in best[0].values() if p > 0.5)
+        return [1.0, odds[0], odds[1], math.log1p(counts[0]), math.log1p(counts[1]), math.log1p(1000 * sum(counts) / len(tokens)), math.log1p(strong), odds[2], math.log1p(quoted)]
 
     def score(self, text: str | None, found: list | None = None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text, found), strict=True))
@@ -175,11 +184,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 20_000, terms: int = 5000, least_g: float = 30.0, quoted: float = 0.4, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 20_000, terms: int = 5000, least_g: float = 30.0, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from at most ``sample`` labelled documents that ``train`` (a condition on doc_id) lets through.
 
     Which ones is decided by a hash of doc_id. A term needs a log-likelihood ratio of ``least_g`` and more toxic than
-    clean texts after scaling. Null labels do not count; of repeated labels of a document the highest does.
+    clean texts after scaling; the lexicon holds the ``terms`` with the highest ratios at most, and as many words beside
+    them that clean texts favour. Null labels do not count; of repeated labels of a document the highest does.
     """
     named = labels.filter(train & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
     picked = named.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample)
@@ -201,29 +211,41 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 20_000, terms:
     whole = stats.filter(F.col("term") == "").first()
     if not whole or not whole["pos"] or not whole["neg"]:
         always = bool(whole and whole["pos"])
-        return Model({}, {}, quoted, [20.0 if always else -20.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+        return Model({}, {}, frozenset(), [20.0 if always else -20.0] + [0.0] * (FEATURES - 1))
     n1, n0 = whole["pos"], whole["neg"]
-    both = F.col("pos") + F.col("neg")
-    part = lambda k, n: F.when(k > 0, 2 * k * F.log(k * F.lit(float(n1 + n0)) / (both * n))).otherwise(0.0)
-    g = part(F.col("pos"), n1) + part(F.col("neg"), n0)
-    chosen = stats.filter((F.col("term") != "") & (F.length("term") >= 3) & (F.col("pos") >= 3) & (F.col("pos") * n0 > F.col("neg") * n1)).withColumn("g", g).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(terms).collect()
+
+    def telling(stats: DataFrame, n1: int, n0: int, toxic: bool) -> list:
+        """The terms whose counts differ most, among those that toxic, or else clean, texts favour."""
+        both = F.col("pos") + F.col("neg")
+        part = lambda k, n: F.when(k > 0, 2 * k * F.log(k * F.lit(float(n1 + n0)) / (both * n))).otherwise(0.0)
+        more = F.col("pos") * n0 - F.col("neg") * n1
+        rows = stats.filter((F.length("term") >= 3) & (F.col("pos" if toxic else "neg") >= 3) & ((more > 0) if toxic else (more < 0)))
+        return rows.withColumn("g", part(F.col("pos"), n1) + part(F.col("neg"), n0)).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(terms).collect()
+
+    chosen = telling(stats, n1, n0, True)
     exact = {r["term"]: (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1.0) for r in chosen}
-    draft = Model(exact, dict.fromkeys(exact, 0.0), quoted, [0.0] * 6)
+    draft = Model(exact, dict.fromkeys(exact, 0.0), frozenset(), [0.0] * FEATURES)
     held = docs.sparkSession.sparkContext.broadcast(draft)
 
     def marks(t: str):
         found = held.value.matches(t)
         if all(kind for _, _, kind in found):  # a text with an exact term says nothing on misspellings
             yield from {f"{kind}{term}" for _, term, kind in found}
-
-    seen = {r["term"]: (r["pos"], r["neg"]) for r in counting(marks).collect()}
+        else:
+            yield "0"
+            yield from (f"0{w}" for w in held.value.context(t))
+
+    marked = written(counting(marks))
+    seen = {r["term"]: (r["pos"], r["neg"]) for r in marked.filter("term = '0' or substring(term, 1, 1) in ('1', '2')").collect()}  # of each term
+    beside = marked.filter("term like '0_%'").withColumn("term", F.expr("substring(term, 2)"))
+    reports = frozenset(r["term"] for r in telling(beside, *seen["0"], False)) if "0" in seen else frozenset()
     fuzzy, broken = {}, {}
     for t in exact:
         a, b = seen.get(f"1{t}", (0, 0))
         fuzzy[t] = (a + 0.75) / (a + b + 1.0)
         a, b = seen.get(f"2{t}", (0, 0))
         broken[t] = (a + exact[t]) / (a + b + 1.0)
-    full = Model(exact, fuzzy, quoted, [0.0] * 6, broken)
+    full = Model(exact, fuzzy, reports, [0.0] * FEATURES, broken)
     ready = docs.sparkSession.sparkContext.broadcast(full)
 
     def measured(it):
@@ -231,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = 20_000, terms:
             t, y = rows_of(batch, "text", "y")
             yield from batches({"x": [ready.value.features(v) for v in t], "y": y}, pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())]))
 
-    rows = texts.mapInArrow(measured, "x array<double>, y int").collect()  # at most ``sample`` rows of six numbers
+    rows = texts.mapInArrow(measured, "x array<double>, y int").collect()  # at most ``sample`` rows of FEATURES numbers
     full.weights = _logistic(np.array([r["x"] for r in rows]), np.array([float(r["y"] > 0) for r in rows]))
     return full
 
