@@ -46,15 +46,18 @@ BLACKLIST = [
     ("B413", "Import", "HIGH", 327, "Crypto.Cipher Crypto.Hash Crypto.IO Crypto.Protocol Crypto.PublicKey Crypto.Random Crypto.Signature Crypto.Util"),
     ("B415", "Import", "HIGH", 319, "pyghmi"),
 ]
-#: Parts of names that suggest input from outside (fixed values).
-INPUT_WORDS = "request|input|param|arg|query|form|data|user|body|payload|json"
-#: Attributes that change a class or its methods (fixed values).
-DANGEROUS = ("__class__", "__dict__", "__bases__", "__mro__", "__globals__", "__init__", "__builtins__", "__code__", "__subclasses__")
+#: Attributes that change a class or its methods, and harmless ones (fixed values).
+DANGEROUS = ("__class__", "__dict__", "__init__", "__new__", "__del__", "__getattr__", "__setattr__", "__delattr__", "__getattribute__", "__bases__", "__mro__", "__subclasses__", "__module__", "__name__", "__globals__", "__builtins__", "__code__", "__closure__", "__func__", "__self__", "__qualname__", "__annotations__", "__doc__", "__file__", "__package__", "__spec__")
+SAFE = (
+    "id", "name", "value", "data", "content", "text", "title", "description", "type", "kind", "status", "state", "level", "priority", "category", "version", "timestamp", "created", "updated", "modified", "author",
+    "source", "target", "destination", "path", "url", "uri", "key", "get", "set", "add", "remove", "delete", "update", "create", "find", "search", "filter", "sort", "count", "length", "size", "empty",
+    "config", "settings", "options", "params", "args", "kwargs", "default", "custom", "user", "system", "global", "local",
+)
 
 
-def _issue(rows: DataFrame, test: str, severity, confidence: str, cwe, text: Column | None = None) -> DataFrame:
+def _issue(rows: DataFrame, test: str, severity, confidence, cwe, text: Column | None = None) -> DataFrame:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return rows.select("file_id", "node_id", "lineno", "end_lineno", "col", F.lit(test).alias("test_id") if isinstance(test, str) else test.alias("test_id"), as_col(severity).alias("severity"), F.lit(confidence).alias("confidence"), as_col(cwe).cast("int").alias("cwe"), (text if text is not None else F.col("qualname")).alias("ident"))
+    return rows.select("file_id", "node_id", "lineno", "end_lineno", "col", F.lit(test).alias("test_id") if isinstance(test, str) else test.alias("test_id"), as_col(severity).alias("severity"), as_col(confidence).alias("confidence"), as_col(cwe).cast("int").alias("cwe"), (text if text is not None else F.col("qualname")).alias("ident"))
 
 
 def _arg(k: int, field: str) -> Column:
@@ -85,16 +88,16 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
     keyed = calls.filter(F.col("qualname").isin("Crypto.Cipher.AES.new", "AES.new") & F.element_at("kw", F.lit("key_size")).startswith("int:") & (F.substring(F.element_at("kw", F.lit("key_size")), 5, 20).cast("int") < 128))
     funcarg = calls.withColumn("_p", F.filter(F.map_entries("kw"), lambda e: e["value"].startswith("str:") & credential_name(e["key"]))).filter("size(_p) > 0")
     default = nodes.filter("kind = 'FunctionDef'").withColumn("_p", F.filter("args", lambda a: (a["kind"] == "str") & credential_name(a["name"]))).filter("size(_p) > 0")
-    outside = lambda c: F.lower(c).rlike(INPUT_WORDS)
     attribute = calls.filter(F.col("qualname").isin("setattr", "getattr") & (F.size("args") >= 2))
+    called = F.coalesce(F.when(_arg(1, "kind") == "str", _arg(1, "value")), F.when(_arg(1, "kind") == "Name", _arg(1, "name")), F.lit(""))  # a bare name counts by its own name
     level = (
-        F.when((_arg(1, "kind") == "str") & _arg(1, "value").isin(*DANGEROUS), "HIGH")
-        .when((_arg(1, "kind") != "str") & outside(F.coalesce(_arg(1, "name"), F.lit(""))), "HIGH")
+        F.when(called.isin(*SAFE), None).when(called.isin(*DANGEROUS), "HIGH").when(_arg(1, "outside").isNotNull(), "HIGH")
         .when(_arg(1, "kind") == "Name", F.when(F.col("qualname") == "setattr", "MEDIUM").otherwise("LOW"))
-    )
+    )
     attribute = attribute.withColumn("_s", level).filter("_s is not null")
     merged = calls.filter(F.col("qualname").isin("dict.update", "object.__setattr__") & (F.size("args") >= 1))
-    mlevel = F.when(outside(F.coalesce(_arg(0, "name"), F.lit(""))), "HIGH").when(_arg(0, "kind") == "Name", "MEDIUM")
+    merged = merged.withColumn("_s", F.when(_arg(0, "outside") == "given", "HIGH").when(_arg(0, "kind") == "Name", "MEDIUM")).filter("_s is not null")
+    replaced = nodes.filter((F.col("kind") == "Assign") & (F.col("value") == "__dict__") & _arg(0, "kind").isin("Name", "Dict", "Call") & F.col("value_kind").isNull())
     parts = [
         _issue(calls.filter("qualname = 'exec'"), "B102", "MEDIUM", "HIGH", 78),
         _issue(strings.filter(F.exists("context", credential_name)), "B105", "LOW", "MEDIUM", 259, F.col("value")),
@@ -106,9 +109,10 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
         _issue(calls.filter(F.col("qualname").isin("hashlib.md5", "hashlib.sha1")), "B304", "MEDIUM", "HIGH", 327),
         _issue(shell, "B602", "HIGH", "HIGH", 78),
         _issue(calls.filter(F.col("qualname").isin("os.system", "os.popen", "commands.getstatusoutput")), "B604", "HIGH", "HIGH", 78),
-        _issue(attribute, F.when(F.col("qualname") == "setattr", "B701").otherwise("B705"), F.col("_s"), "MEDIUM", 20),
-        _issue(merged.withColumn("_s", mlevel).filter("_s is not null"), "B702", F.col("_s"), "MEDIUM", 20),
-        _issue(calls.filter(F.col("qualname").isin("vars", "globals", "locals")), "B706", "LOW", "MEDIUM", 20),
+        _issue(attribute, F.when(F.col("qualname") == "setattr", "B701").otherwise("B705"), "HIGH", F.col("_s"), 20),
+        _issue(merged, "B702", "HIGH", F.col("_s"), 20),
+        _issue(replaced, "B704", "HIGH", F.when(_arg(0, "outside") == "given", "HIGH").otherwise("MEDIUM"), 20, F.col("value")),
+        _issue(calls.filter(F.col("qualname").isin("vars", "globals", "locals")), "B706", "HIGH", "LOW", 20),
         *(f(nodes) for f in extra or []),
     ]
     out = parts[0]
@@ -118,16 +122,16 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
 
 
 def suppressed(issues: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, suppressed) by nosec lines: the first inside the node's lines and that on the issue's own line.
+    """(kept, suppressed) by nosec comments: the first comment inside the node's lines decides, with that on the issue's own line.
 
-    Lines of a node are listed, so this joins on equality.
+    Lines of a node are listed, so this joins on equality. Both inputs are read twice: write them first.
     """
     lines = issues.select("file_id", "node_id", "test_id", "lineno", F.explode(F.sequence("lineno", F.coalesce("end_lineno", "lineno"))).alias("line"))
     near = lines.join(marks, ["file_id", "line"])
     first = near.groupBy("file_id", "node_id", "test_id").agg(F.min_by("ids", "line").alias("a"), F.max(F.when(F.col("line") == F.col("lineno"), F.col("ids"))).alias("b"))
-    empty = F.array_except("a", "a")
-    ids = F.array_union("a", F.coalesce("b", empty))
-    gone = first.filter((F.size(ids) == 0) | F.array_contains(ids, F.col("test_id"))).select("file_id", "node_id", "test_id")
+    none = F.array().cast("array<string>")
+    ids = F.array_union(F.coalesce("a", none), F.coalesce("b", none))
+    gone = first.filter(F.coalesce("a", "b").isNotNull() & ((F.size(ids) == 0) | F.array_contains(ids, F.col("test_id")))).select("file_id", "node_id", "test_id")
     return issues.join(gone, ["file_id", "node_id", "test_id"], "left_anti"), issues.join(gone, ["file_id", "node_id", "test_id"], "left_semi")
 
 

@@ -39,7 +39,12 @@ _ISSUES = """SELECT p_partkey AS file_id, lineno, test_id, severity, confidence,
 
 def issues(spark, sf_dir):
     f = files(spark, sf_dir)
-    return rules.suppressed(rules.run_rules(written(python.parse(f))), python.suppressions(f))[0]
+    return judged(f)[0]
+
+
+def judged(f):
+    """(kept, suppressed) issues of files, each file parsed and its comments read once."""
+    return rules.suppressed(written(rules.run_rules(written(python.parse(f)))), written(python.suppressions(f)))
 
 
 def _shown(i):
@@ -67,7 +72,7 @@ for _name, _tests in {"b102": ["B102"], "b105": ["B105"], "b301": ["B301"], "b40
 def suppression(spark, sf_dir):
     """What the nosec comments suppress."""
     f = files(spark, sf_dir)
-    return rules.suppressed(rules.run_rules(written(python.parse(f))), python.suppressions(f))[1].select("file_id", "lineno", "test_id")
+    return judged(f)[1].select("file_id", "lineno", "test_id")
 
 
 @query("flt01", f"SELECT * FROM ({_ISSUES}) WHERE severity IN ('MEDIUM', 'HIGH') AND confidence = 'HIGH'")

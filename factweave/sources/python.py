@@ -16,8 +16,8 @@ from ..functions.names import glob_regex, module_name
 
 NODE = """file_id long, node_id int, parent_id int, field string, idx int, kind string, lineno int, end_lineno int, col int, end_col int,
  name string, value string, value_kind string, qualname string, scope string,
- args array<struct<kind: string, name: string, value: string>>, kw map<string, string>, context array<string>"""
-_ARROW = {"file_id": pa.int64(), "args": pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.string())])), "kw": pa.map_(pa.string(), pa.string()), "context": pa.list_(pa.string())} | dict.fromkeys(("node_id", "parent_id", "idx", "lineno", "end_lineno", "col", "end_col"), pa.int32())
+ args array<struct<kind: string, name: string, value: string, outside: string>>, kw map<string, string>, context array<string>"""
+_ARROW = {"file_id": pa.int64(), "args": pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("outside", pa.string())])), "kw": pa.map_(pa.string(), pa.string()), "context": pa.list_(pa.string())} | dict.fromkeys(("node_id", "parent_id", "idx", "lineno", "end_lineno", "col", "end_col"), pa.int32())
 _NODE_COLUMNS = re.findall(r"(\w+) (?:long|int|string|array<struct|map|array<string)", NODE)
 
 
@@ -93,6 +93,52 @@ def _context(node: ast.Constant, parents: dict) -> list[str]:
     return []
 
 
+#: Parts of names, whole names, called attributes, objects and their attributes that bring input from outside, and
+#: attributes that build strings, words of checked names and called checks (fixed values).
+INPUT_PARTS = ("input", "get", "post", "request", "query", "params", "args", "form", "data", "body", "json", "xml", "yaml", "csv", "load", "parse", "decode", "deserialize", "unmarshal", "read", "open", "file", "stream", "socket", "network", "url", "path", "filename", "content", "message", "payload")
+INPUT_NAMES = ("request", "req", "params", "args", "kwargs", "data", "form")
+INPUT_CALLS = ("get", "post", "input", "read", "load", "parse")
+INPUT_OBJECTS = ("request", "req", "self")
+INPUT_FIELDS = ("args", "form", "data", "json", "values", "get", "post")
+STRING_CALLS = ("format", "replace", "join", "strip")
+CHECKED_WORDS = ("whitelist", "allowed", "valid", "safe")
+CHECK_CALLS = ("validate", "sanitize", "escape", "clean", "check", "verify")
+
+
+def _given(node: ast.AST) -> bool:
+    """Whether an expression is input from outside, by its names."""
+    match node:
+        case ast.Name(id=name):
+            return name.lower() in INPUT_NAMES or any(x in name.lower() for x in INPUT_PARTS)
+        case ast.Call(func=ast.Attribute(attr=name)):
+            return name.lower() in INPUT_CALLS
+        case ast.Attribute(value=ast.Name(id=owner), attr=name):
+            return owner.lower() in INPUT_OBJECTS and name.lower() in INPUT_FIELDS
+    return False
+
+
+def _outside(node: ast.AST) -> str | None:
+    """``given`` for input from outside, ``built`` for a string with such input in it."""
+    if _given(node):
+        return "built" if isinstance(node, ast.Call) and node.func.attr in STRING_CALLS else "given"
+    match node:
+        case ast.Call(func=ast.Attribute(attr=name), args=args) if name in STRING_CALLS:
+            return "built" if any(map(_given, args)) else None
+        case ast.BinOp(op=ast.Add(), left=left, right=right):
+            return "built" if _outside(left) or _outside(right) else None
+    return None
+
+
+def _checked(up: ast.AST | None) -> bool:
+    """Whether a statement stands under a condition that checks its input."""
+    match up:
+        case ast.If(test=ast.Compare(left=ast.Name(id=name))):
+            return any(x in name.lower() for x in CHECKED_WORDS)
+        case ast.If(test=ast.Call(func=ast.Attribute(attr=name))):
+            return name.lower() in CHECK_CALLS
+    return False
+
+
 def node_rows(file_id: int, text: str) -> list[tuple]:
     """The nodes of one source in pre-order; none if it does not parse."""
     try:
@@ -125,18 +171,22 @@ def node_rows(file_id: int, text: str) -> list[tuple]:
                 plain = node.args.args
                 for a, d in zip(reversed(plain), reversed(node.args.defaults), strict=False):
                     v, k = _literal(d)
-                    args.append({"kind": k or type(d).__name__, "name": a.arg, "value": v})
+                    args.append({"kind": k or type(d).__name__, "name": a.arg, "value": v, "outside": None})
                 args.reverse()
         elif isinstance(node, ast.Call):
             qual = _resolved(_dotted(node.func), aliases)
             name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr if isinstance(node.func, ast.Attribute) else None
             for a in node.args:
                 v, k = _literal(a)
-                args.append({"kind": k or type(a).__name__, "name": _dotted(a) or (a.func.id if isinstance(a, ast.Call) and isinstance(a.func, ast.Name) else None), "value": v})
+                args.append({"kind": k or type(a).__name__, "name": _dotted(a) or (a.func.id if isinstance(a, ast.Call) and isinstance(a.func, ast.Name) else None), "value": v, "outside": _outside(a)})
             for k in node.keywords:
                 v, lk = _literal(k.value)
                 if k.arg and lk:
                     kw[k.arg] = f"{lk}:{v}"
+        elif isinstance(node, ast.Assign) and any(isinstance(t, ast.Attribute) and t.attr == "__dict__" for t in node.targets):
+            value = "__dict__"
+            kind = "checked" if _checked(parents.get(node)) else None
+            args = [{"kind": type(node.value).__name__, "name": _dotted(node.value), "value": None, "outside": _outside(node.value)}]
         elif isinstance(node, ast.Constant):
             value, kind = _literal(node)
             if kind == "str":
@@ -177,8 +227,12 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def suppressions(files: DataFrame) -> DataFrame:
-    """(file_id, line, ids): lines with a nosec comment; no ids suppress all."""
-    mark = re.compile(r"#\s*nosec:?\s*(?P<ids>[^#]*)", re.I)
+    """(file_id, line, ids) of all comments: the tests they suppress, none for all; null where they suppress nothing.
+
+    Of names joined by commas alone the last counts.
+    """
+    mark = re.compile(r"#\s*nosec:?\s*(?P<ids>[^#]*)")
+    chain = re.compile(r"(?:(B\d+|[a-z\d_]+),?)+", re.I)
 
     def run(it):
         for frame in it:
@@ -186,8 +240,9 @@ def suppressions(files: DataFrame) -> DataFrame:
             for i, t in zip(frame["file_id"], frame["text"], strict=True):
                 try:
                     for token in tokenize.generate_tokens(io.StringIO(t or "").readline):
-                        if token.type == tokenize.COMMENT and (m := mark.search(token.string)):
-                            out.append((i, token.start[0], re.findall(r"B\d+", m["ids"])))
+                        if token.type == tokenize.COMMENT:
+                            m = mark.search(token.string)
+                            out.append((i, token.start[0], [x[1] for x in chain.finditer(m["ids"])] if m else None))
                 except (tokenize.TokenError, SyntaxError, IndentationError):
                     continue
             yield pd.DataFrame(out, columns=["file_id", "line", "ids"]).astype({"file_id": "int64", "line": "int32"})
