@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 import re
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,10 +71,28 @@ def group_count(df: DataFrame, text: str = "text", least: int | None = None) ->
     return max(least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back, as workers outlive their tasks and share a machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def slices(it: Iterator[pa.RecordBatch], text: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of so many bytes of text (the column with this number), but at least a row."""
+    for batch in it:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)))
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def batches(columns: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
