@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, group_count, mix, pack, rows_of, table, unpack
+from .common import batches, group_count, mix, pack, rows_of, table, tidy, unpack
 
 #: Letters of an anchor.
 GRAM = 16
@@ -32,6 +32,8 @@ COMMON = 10_000
 GRAMS, CHUNK = 32, 1 << 16
 #: Bytes of text in one block of the anchor search.
 BLOCK = 1 << 19
+#: Bytes that one suffix array holds, but at least the places of a core.
+SORTED = 1 << 20
 #: Stands for a null doc_id, before all others.
 NONE = -(1 << 63)
 
@@ -249,6 +251,7 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
     """db and blobs of (documents, starts, ends) of the repeated bytes of each group's documents."""
 
     def keys_of(key, frame):
+        tidy()
         group = Group(frame["blob"])
         keys = np.concatenate([np.zeros(0, np.uint64), *(r[3] for *_, r in group.runs(length))])
         part = (keys % np.uint64(groups)).astype(np.int64)
@@ -269,6 +272,7 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
 
     def surroundings(key, docs, marks):
         """kind 0: places of repeated cores with their texts, or single windows of common cores; 2: pieces found here."""
+        tidy()
         group = Group(docs["blob"])
         found = {k: unpack(b) for k, b in zip(marks["kb"], marks["blob"], strict=True)}
         used = dict.fromkeys(found, 0)
@@ -324,45 +328,57 @@ def covered(parts: DataFrame, groups: int, length: int) -> DataFrame:
 
     def earliest(key, frame):
         """The repeats among what has met here, as pieces for each group of documents."""
+        tidy()
         out: dict[int, list] = defaultdict(list)
         texts = frame[frame["kind"] == 0]
-        columns: list[list] = [[] for _ in range(7)]
+        got = []
+        bodies: list[bytes] = []
         for db, blob in zip(texts["db"], texts["blob"], strict=True):
             k, d, i, s, rel, size, body = unpack(blob)
-            ends = np.cumsum(size)
-            for to, v in zip(columns, (k.tolist(), [db] * len(k), d.tolist(), i.tolist(), s.tolist(), rel.tolist(), [body[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]), strict=True):
-                to += v
-        if columns[0]:
-            keys, dbs, docs, ids, starts, rels, bodies = columns
-            order = sorted(range(len(keys)), key=lambda x: (ids[x], dbs[x], docs[x], starts[x]))
-            seen: dict[tuple, int] = {}
-            held: dict[int, list[int]] = defaultdict(list)
-            for x in order:
-                if (t := (rels[x], bodies[x])) in seen:
-                    out[dbs[x]].append((docs[x], starts[x], starts[x] + len(bodies[x])))
-                else:
-                    seen[t] = x
-                    held[keys[x]].append(x)
-            several = {k for k, v in held.items() if len(v) > 1}
-            chosen = [x for x in order if keys[x] in several and seen[(rels[x], bodies[x])] == x]
-            by_key = sorted(range(len(chosen)), key=lambda j: (keys[chosen[j]], j))
+            got.append((k, np.full(len(k), db, np.int32), d, i, s, rel))
             at = 0
-            while at < len(by_key):  # whole cores in blocks, so that the suffix array stays small
-                to, size = at, 0
-                while to < len(by_key) and (size < 1 << 21 or keys[chosen[by_key[to]]] == keys[chosen[by_key[to - 1]]]):
-                    size += len(bodies[chosen[by_key[to]]])
-                    to += 1
-                block = [chosen[j] for j in by_key[at:to]]
-                lengths = np.array([len(bodies[x]) for x in block])
-                offset = np.cumsum(lengths) - lengths
-                count = lengths - length + 1
+            for n in size.tolist():
+                bodies.append(body[at : at + n])
+                at += n
+        if bodies:
+            keys, dbs, docs, ids, starts, rels = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            order = np.lexsort((starts, docs, dbs, ids))
+            seen: set[tuple] = set()
+            again = np.zeros(len(order), bool)
+            for x, rel in zip(order.tolist(), rels[order].tolist(), strict=True):
+                t = (rel, bodies[x])
+                if t in seen:
+                    again[x] = True
+                else:
+                    seen.add(t)
+            seen.clear()
+            lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            x = np.flatnonzero(again)
+            for g in np.unique(dbs[x]).tolist():
+                y = x[dbs[x] == g]
+                out[g] += zip(docs[y].tolist(), starts[y].tolist(), (starts[y] + lengths[y]).tolist(), strict=True)
+            chosen = order[~again[order]]
+            chosen = chosen[np.argsort(keys[chosen], kind="stable")]  # places of one core together, the earliest first
+            one = np.concatenate(([True], keys[chosen][1:] != keys[chosen][:-1])) if len(chosen) else np.zeros(0, bool)
+            alone = one & np.concatenate((one[1:], [True]))
+            chosen, head = chosen[~alone], np.flatnonzero(one[~alone])
+            total = np.concatenate(([0], np.cumsum(lengths[chosen])))
+            ends, at = np.append(head[1:], len(chosen)), 0
+            while at < len(chosen):  # whole cores in blocks, so that the suffix array stays small
+                fits = ends[(ends > at) & (total[ends] - total[at] <= SORTED)]
+                to = int(fits[-1] if len(fits) else ends[ends > at][0])
+                block = chosen[at:to]
+                size = lengths[block]
+                offset = np.cumsum(size) - size
+                count = size - length + 1
                 inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                text = np.frombuffer(b"".join(bodies[x] for x in block), np.uint8)
+                text = np.frombuffer(b"".join(bodies[x] for x in block.tolist()), np.uint8)
                 gone = ~first_of(equal_windows(text, np.repeat(offset, count) + inner, length))
                 own = np.repeat(np.arange(len(block)), count)
-                base = np.array([starts[x] for x in block], np.int64)
-                for j, a, b in zip(*(v.tolist() for v in pieces(gone, base[own] + inner, own, length)), strict=True):
-                    out[dbs[block[j]]].append((docs[block[j]], a, b))
+                for j, a, b in zip(*(v.tolist() for v in pieces(gone, starts[block][own] + inner, own, length)), strict=True):
+                    x = block[j]
+                    out[int(dbs[x])].append((int(docs[x]), a, b))
                 at = to
         keys = list(out)
         return pd.DataFrame({"db": np.array(keys, np.int32), "blob": [pack(tuple(np.array(v, np.int64) for v in zip(*out[k], strict=True))) for k in keys]})
@@ -406,6 +422,7 @@ def _apply(docs: DataFrame, length: int, doc_id: str, text: str, schema: str, ro
     parts = packed(docs, groups, doc_id, text)
 
     def result(key, blobs, found):
+        tidy()
         group = Group(blobs["blob"])
         spans = spans_of(found["blob"], np.array([len(d[1]) for d in group.docs], np.int64))
         return rows_for(group, spans)
