@@ -32,6 +32,8 @@ WORDS, ENDINGS, WIDTH = 768, 255, 16
 HEAD = 1_000_000
 BATCH, NOISE, RATE = 1024, 32, 0.1
 _TYPES = 300_000
+#: Copies of the model that are averaged at once.
+MERGED = 16
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -207,7 +209,10 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
             yield pd.DataFrame({"weight": [total], "model": [pack([s / total for s in sums])]})
 
     copies = docs.select(F.col("text").cast("binary")).mapInArrow(train, "weight long, model binary")
-    rows = copies.repartition(12).mapInPandas(average, "weight long, model binary").collect()  # at most 12 models
+    copies = written(copies)
+    while (held_now := copies.count()) > MERGED:  # a tree, as deep as the copies are many
+        copies = written(copies.repartition(-(-held_now // MERGED)).mapInPandas(average, "weight long, model binary"))
+    rows = copies.collect()  # at most MERGED models of fixed size
     model, total = LogBilinear(vocab.share), sum(r["weight"] for r in rows)
     if total:
         mean = [sum(np.asarray(p) * (r["weight"] / total) for p, r in zip(ps, rows, strict=True)) for ps in zip(*(unpack(r["model"]) for r in rows), strict=True)]
