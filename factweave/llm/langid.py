@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix, rows_of, table
+from .common import batches, mix, rows_of, slices, table
 
 #: First code points of script ranges and the scripts that begin there (fixed values; letters outside are "other").
 SCRIPTS = [
@@ -323,18 +323,12 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def run(it):
         m = held.value
-        for batch in it:
-            texts = batch.column(1)
-            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, side="right")))
-                lang, score, found = zip(*m.labels(texts.slice(at, to - at), spans), strict=True)
-                got = [batch.column(0).slice(at, to - at), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                if spans:
-                    got.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f] for f in found], type=schema.field("spans").type))
-                yield pa.RecordBatch.from_arrays(got, schema=schema)
-                at = to
+        for batch in slices(it, 1, TOGETHER):
+            lang, score, found = zip(*m.labels(batch.column(1), spans), strict=True)
+            got = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            if spans:
+                got.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f] for f in found], type=schema.field("spans").type))
+            yield pa.RecordBatch.from_arrays(got, schema=schema)
 
     more = ", spans array<struct<start: int, end: int, lang: string>>" if spans else ""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id long, lang_pred string, score double{more}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, rows_of, table, written
+from .common import batches, rows_of, slices, table, tidy, written
 from .langid import remainder
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -268,7 +268,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def run(it):
         m = held.value
-        for batch in it:
+        for batch in slices(it, 1):
             ids, texts = rows_of(batch, "doc_id", "text")
             found = [m.matches(t) if t else [] for t in texts]
             yield from batches({"doc_id": ids, "score": [m.score(t, f) for t, f in zip(texts, found, strict=True)], "hits": [sorted({x for _, x, _ in f}) for f in found]}, schema)
@@ -279,12 +279,14 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents that score under ``least``, with all their columns; null texts stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index("text")
 
     def run(it):
         m = held.value
-        for batch in it:
+        for batch in slices(it, column):
             (texts,) = rows_of(batch, "text")
             yield batch.filter(pa.array([m.score(t) < least for t in texts], type=pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -263,6 +263,70 @@ def test_language_model(docs, empty):
     assert lm.score(empty, train).count() == 0
 
 
+def test_language_model_beats_counts(spark):
+    """On held-out texts of the larger table the model gives more than smoothed counts, also when copies are merged in a tree."""
+    got = lm.op2_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_hot_text_is_cut_over_shards(spark):
+    rows = [(k, "the same text again") for k in range(300)] + [(1000 + k, f"other {k} " * (k % 7)) for k in range(300)] + [(None, None), (5, "the same text again")]
+    got = shard.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    total = collections.Counter()
+    for r in got:
+        total[r.shard] += r["size"]
+    assert len(got) == len(rows) and max(total.values()) - sum(total.values()) / 5 <= max(r["size"] for r in got)
+    hot = collections.Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"the same text again"))
+    assert len(hot) >= 3  # half of all bytes
+
+
+def test_html_pages_of_any_depth_and_damage():
+    assert htmltext.main_text("<p>Alpha beta gamma.</p><p class=\"x") == "Alpha beta gamma."
+    assert htmltext.main_text("a < b and c<d> e </> f &lt;") == "a < b and c e f <"
+    page = "<div id='main' class='has-sidebar'><div class='content with-sidebar'><div class='entry-header'><h1>T</h1></div><p>One, two, three, four and more.</p><h2>S</h2><ul><li>x<li>y</ul><p>Five, six, seven.</p></div><div class='sidebar'><p>No, no, no, no, no, no.</p></div></div><div class='comments'><p>" + "Long, comment, " * 60 + "</p></div>"
+    assert htmltext.main_text(page) == "T\nOne, two, three, four and more.\nS\nx\ny\nFive, six, seven."
+    for part in ('<a "', "<div>", '<a b="', "<", "<script>", "</p", "<!--", "<p class=x "):
+        htmltext.main_text(part * 20_000)  # each ends soon
+    assert htmltext.main_text("<div>" * 50_000 + "<p>deep, far down.</p>") == "deep, far down."
+
+
+def test_equal_windows():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        t = rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(150, 1500))).astype(np.uint8)
+        t = np.concatenate((t, t[: len(t) // 2]))
+        length = int(rng.choice([9, 40, 100, 128]))
+        start = np.arange(len(t) - length + 1)
+        got, body, seen = suffixdup.equal_windows(t, start, length), t.tobytes(), {}
+        want = [seen.setdefault(body[i : i + length], len(seen)) for i in start]
+        assert len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(seen)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, other columns with clashing names, and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    long = words(rng, 200, 900)
+    rows = [(1, long), (1, long), (2, long + " tail"), (3, None), (None, words(rng, 80)), (None, None), (4, ""), (5, words(rng, 60, 900)), (6, "one two")]
+    frame = spark.createDataFrame([(i, t, "en", 1, 2) for i, t in rows], "doc_id long, text string, lang string, h long, _found_0 long")
+    labels = spark.createDataFrame([(1, 0), (5, 0), (None, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "never seen here at all"), (2, None)], "item_id long, text string")
+    for name, docs in (("full", frame), ("empty", frame.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        for t, f in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            f.write.parquet(f"{sf}/{t}.parquet")
+        at = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, sf)
+            assert at.columns == frame.columns
+        got = corpus_pipeline.run(spark, sf)
+        kept = sorted((r.doc_id for r in got.collect()), key=repr)
+        assert kept == (sorted([1, 3, None, None, 4, 5, 6], key=repr) if name == "full" else [])
+
+
 def test_html():
     page = "<html><head><title>t</title><script>var a='<p>no';</script></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy, now, this.</div><article><h1>A &amp; B</h1><p>First,  one,\n two.<p><b>Second<br>line</b></p><ul><li>x</li></ul><form><input>no</form></article><div id=comments><p>I, too, say, so, much, here.</p></div><footer>&copy; no</footer></body></html>"
     assert htmltext.main_text(page) == "A & B\nFirst, one, two.\nSecond line\nx"
