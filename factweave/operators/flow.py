@@ -20,6 +20,7 @@ class Flow:
         self.edges: list[tuple[int, int, str]] = []
         self.defs: dict[int, list[str]] = defaultdict(list)
         self.uses: dict[int, list[str]] = defaultdict(list)
+        self.exposed: dict[int, list[str]] = defaultdict(list)  # read before the block itself defines them
         self.code: dict[int, list[str]] = defaultdict(list)
         self.defs[0] = list(params)
         self.loops: list[tuple[int, int]] = []
@@ -41,8 +42,15 @@ class Flow:
 
     def _names(self, block: int, node: ast.AST) -> None:
         for n in ast.walk(node):
-            if isinstance(n, ast.Name):
-                (self.uses if isinstance(n.ctx, ast.Load) and n.id not in self.defs[block] else self.defs if isinstance(n.ctx, ast.Store) else self.uses)[block].append(n.id)
+            if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+                self.defs[block].append(n.id)
+            elif isinstance(n, ast.Name):
+                self._read(block, n.id)
+
+    def _read(self, block: int, name: str) -> None:
+        self.uses[block].append(name)
+        if name not in self.defs[block]:
+            self.exposed[block].append(name)
 
     def suite(self, body: list[ast.stmt], at: int | None) -> int | None:
         for s in body:
@@ -72,7 +80,7 @@ class Flow:
             if s.value is not None:
                 self._names(at, s.value)
             if isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
-                self.uses[at].append(s.target.id)
+                self._read(at, s.target.id)
             for t in s.targets if isinstance(s, ast.Assign) else [s.target]:
                 self._names(at, t)
         else:
@@ -237,7 +245,7 @@ def phis(flow: Flow) -> set[tuple[int, str]]:
         changed = False
         for n in graph:
             out = set().union(*(live_in[b] for b in graph[n])) if graph[n] else set()
-            new = set(flow.uses.get(n, ())) | (out - set(flow.defs.get(n, ())))
+            new = set(flow.exposed.get(n, ())) | (out - set(flow.defs.get(n, ())))
             if new != live_in[n]:
                 live_in[n], changed = new, True
     out = set()
@@ -267,7 +275,7 @@ def reaching(flow: Flow) -> set[tuple[int, int, str]]:
                 new |= kept | {(p, v) for v in flow.defs.get(p, ())}
             if new != inside[n]:
                 inside[n], changed = new, True
-    return {(d, n, v) for n in graph for d, v in inside[n] if v in flow.uses.get(n, ())}
+    return {(d, n, v) for n in graph for d, v in inside[n] if v in flow.exposed.get(n, ())}
 
 
 def natural_loops(flow: Flow) -> set[tuple[int, int]]:

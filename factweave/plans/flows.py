@@ -75,23 +75,3 @@ def read_modify(spark, sf_dir):
 def data_text(spark, sf_dir):
     d = flow.data(files(spark, sf_dir)).filter("var = 'a'")
     return d.select("file_id", "func", F.format_string("%d -> %d [%s]", "src", "dst", "var").alias("line"))
-
-
-@query("flw05", _both("(0), (1), (2), (3), (4), (5), (6)", "(0), (1), (2)", "block"))
-def collected(spark, sf_dir):
-    return flow.blocks(files(spark, sf_dir)).select("file_id", "func", "block")
-
-
-@query("flw07")
-def ssa(spark, sf_dir):
-    return flow.ssa(files(spark, sf_dir))
-
-
-@query("flw10")
-def loops(spark, sf_dir):
-    return flow.loops(files(spark, sf_dir))
-
-
-@query("opt02")
-def dead_code(spark, sf_dir):
-    return flow.liveness(files(spark, sf_dir))
