@@ -38,10 +38,11 @@ def prefix_minima(rows: DataFrame, keys: list[str], value: str, *order: str) ->
 
 
 def range_minimum(rows: DataFrame, key: str, at: str, value: str, queries: DataFrame) -> DataFrame:
-    """queries (key, lo, hi) with ``least``: the least value at lo <= at < hi of the key, null if there is none.
+    """queries (key, lo, hi) with ``least``: the least value at lo <= at < hi of the key.
 
-    A sparse table: for each power of two the minima of blocks that start at each row. A query joins at most two blocks
-    on equality, however long its range is.
+    A sparse table: for each power of two the minima of blocks that start at each row. One window over rows and ends of
+    ranges gives the first and last row of each range; a query then joins at most two blocks on equality, however long its
+    range is. Ranges without rows are left out.
     """
     w = Window.partitionBy(key).orderBy(at)
     seq = rows.select(key, at, value, F.row_number().over(w).alias("i"))
@@ -55,8 +56,11 @@ def range_minimum(rows: DataFrame, key: str, at: str, value: str, queries: DataF
         part = part.withColumn("k", F.lit(k))
         blocks = part if blocks is None else blocks.unionByName(part)
     q = queries.withColumn("_q", F.monotonically_increasing_id())
-    first = q.join(seq.select(F.col(key).alias("_k"), F.col(at).alias("_a"), F.col("i").alias("_i")), (q[key] == F.col("_k")) & (F.col("lo") <= F.col("_a")) & (F.col("_a") < F.col("hi")))
-    span = first.groupBy("_q", key, "lo", "hi").agg(F.min("_i").alias("a"), F.max("_i").alias("b"))
+    rows_ = rows.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_q"), F.lit(False).alias("_high"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    end = lambda c, high: q.select(F.col(key), F.col(c).alias("_at"), F.lit(0).alias("_one"), "_q", F.lit(high).alias("_high"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    before = F.sum("_one").over(Window.partitionBy(key).orderBy("_at", "_one").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # rows under an end, as ends come first
+    placed = rows_.unionByName(end("lo", False)).unionByName(end("hi", True)).withColumn("_n", before).filter("_one = 0")
+    span = placed.groupBy("_q", key, "lo", "hi").agg((F.max(F.when(~F.col("_high"), F.col("_n"))) + 1).alias("a"), F.max(F.when(F.col("_high"), F.col("_n"))).alias("b")).filter("a <= b")
     span = span.withColumn("k", F.floor(F.log2(F.col("b") - F.col("a") + 1)).cast("int"))
     both = span.withColumn("i", F.explode(F.array(F.col("a"), (F.col("b") - F.pow(F.lit(2.0), F.col("k")) + 1).cast("int"))))
     return both.join(blocks, [key, "i", "k"]).groupBy("_q", key, "lo", "hi").agg(F.min("least").alias("least")).drop("_q")

@@ -118,7 +118,7 @@ def parsed(spark, sf_dir):
 
 @query("src07", "SELECT p_partkey AS file_id, unnest(CASE WHEN p_size % 2 = 0 THEN ['os', 'pickle'] ELSE ['os', 'subprocess'] END) AS module FROM part")
 def found_imports(spark, sf_dir):
-    return python.imports(nodes(spark, sf_dir))
+    return python.imports(written(nodes(spark, sf_dir)))
 
 
 @query("src08", "SELECT 'pkg.' || lower(replace(p_brand, '#', '_')) || '.m_' || p_partkey AS module, 'pkg/' || lower(replace(p_brand, '#', '_')) || '/m_' || p_partkey || '.py' AS path FROM part")
@@ -148,7 +148,7 @@ def def_use(spark, sf_dir):
 
 @query("cgr01", "SELECT p_partkey AS file_id, unnest(['main', 'main.f_' || p_partkey]) AS caller, unnest(['main.f_' || p_partkey, 'main.g_' || p_partkey]) AS callee FROM part")
 def simple_call_graph(spark, sf_dir):
-    return callgraph.call_graph(nodes(spark, sf_dir))
+    return callgraph.call_graph(written(nodes(spark, sf_dir)))
 
 
 def _graph(spark, sf_dir):
