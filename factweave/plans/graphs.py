@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..shared import written
 from .base import EDGE, FLOW, TREE, edges, flow, query, table, tree
 
 _REACH = f"WITH RECURSIVE {EDGE}, walk(src, dst) AS (SELECT src, dst FROM edge UNION SELECT w.src, e.dst FROM walk w JOIN edge e ON w.dst = e.src)"
@@ -191,3 +192,52 @@ def live_code(spark, sf_dir):
     live = graph.reach(e, root)
     text = lambda c: F.col(c).cast("string")
     return root.select(F.lit("none").alias("caller"), text("node").alias("callee")).union(e.join(live, e["src"] == live["node"]).select(text("src"), text("dst"))).distinct()
+
+
+#: Each part and the part on the next line of its order: a graph of whole tables that grows with them.
+PARTS = "part_edge AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+def part_edges(spark, sf_dir):
+    """(src, dst): one equality join, as the next line's key is known."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    return written(lines.join(following, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").distinct())
+
+
+@query("gra01_parts", f"WITH RECURSIVE {PARTS}, walk(node) AS (SELECT min(src) FROM part_edge UNION SELECT e.dst FROM walk w JOIN part_edge e ON w.node = e.src) SELECT node FROM walk")
+def reach_parts(spark, sf_dir):
+    e = part_edges(spark, sf_dir)
+    return graph.reach(e, _root(spark, sf_dir, e))
+
+
+@query("gra12_parts", f"WITH RECURSIVE {PARTS}, lv(node, level) AS (SELECT min(src), 0 FROM part_edge UNION SELECT e.dst, l.level + 1 FROM lv l JOIN part_edge e ON l.node = e.src WHERE l.level < 20) SELECT node, min(level) AS level FROM lv GROUP BY node")
+def levels_parts(spark, sf_dir):
+    e = part_edges(spark, sf_dir)
+    return graph.levels(e, _root(spark, sf_dir, e))
+
+
+@query("gra11_parts", f"WITH {PARTS} SELECT src AS node FROM part_edge EXCEPT SELECT dst FROM part_edge")
+def entries_parts(spark, sf_dir):
+    return graph.entry_points(part_edges(spark, sf_dir))
+
+
+@query("gra23_parts", f"WITH {PARTS}, o AS (SELECT src AS node, count(*) AS outdegree FROM part_edge GROUP BY src), i AS (SELECT dst AS node, count(*) AS indegree FROM part_edge GROUP BY dst) SELECT coalesce(o.node, i.node) AS node, coalesce(outdegree, 0) AS outdegree, coalesce(indegree, 0) AS indegree FROM o FULL JOIN i ON o.node = i.node")
+def degrees_parts(spark, sf_dir):
+    return graph.degrees(part_edges(spark, sf_dir))
+
+
+@query("gra13_parts", f"WITH RECURSIVE {PARTS}, two(a, b) AS (SELECT src, dst FROM part_edge UNION SELECT dst, src FROM part_edge), walk(node) AS (SELECT min(a) FROM two UNION SELECT b FROM walk JOIN two ON node = a) SELECT count(*) AS nodes, min(node) AS component FROM walk")
+def component_of_parts(spark, sf_dir):
+    """The component of the least part: how many parts are in it."""
+    found = graph.components(part_edges(spark, sf_dir))
+    return found.groupBy("component").agg(F.count("*").alias("nodes")).orderBy("component").limit(1).select("nodes", "component")
+
+
+@query("gra04_parts", f"WITH RECURSIVE {PARTS}, ahead(node) AS (SELECT min(src) FROM part_edge UNION SELECT e.dst FROM ahead w JOIN part_edge e ON w.node = e.src), back(node) AS (SELECT min(src) FROM part_edge UNION SELECT e.src FROM back w JOIN part_edge e ON w.node = e.dst) SELECT node FROM ahead INTERSECT SELECT node FROM back")
+def strong_component_of_parts(spark, sf_dir):
+    """The strong component of the least part with a following one."""
+    e = part_edges(spark, sf_dir)
+    found = written(graph.strong_components(e))
+    own = found.join(_root(spark, sf_dir, e), "node").select("component")
+    return found.join(own, "component").select("node")
