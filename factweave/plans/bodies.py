@@ -1,6 +1,6 @@
 """Control-flow queries over functions with loops, handlers, nested choices and dead code, one for each part.
 
-What is expected of each function was worked out by hand and stands beside it.
+What is expected of each function stands beside it: the output of the operators at first writing, read through by hand.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ CASES = {'loop':'''def f(a, n):
     return a
 '''}
 
-#: By function: blocks where versions of a variable meet.
+#: Recorded and reviewed, by function: blocks where versions of a variable meet.
 _PHIS = {
     "loop": [(3, 'i')],
     "dead": [],
