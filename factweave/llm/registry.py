@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, htmltext, jaccard, langid, lm, quality, shard, suffixdup, toxicity
+from . import bpe, decontaminate, htmltext, jaccard, langid, lm, phrases, quality, shard, suffixdup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixdup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_html_extraction": htmltext.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,4 +61,18 @@ b AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
   FROM w LEFT JOIN r3 ON w.doc_id = r3.doc_id LEFT JOIN r8 ON w.doc_id = r8.doc_id LEFT JOIN r51 ON w.doc_id = r51.doc_id LEFT JOIN lines ON w.doc_id = lines.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered / greatest(n_words, 1) <= 0.3 AND NOT long AS kept FROM b"""
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": _OP5, "op6_jaccard_join": _OP6, "op8_quality": _OP8}
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+c AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS n FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m)) GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang),
+f AS (SELECT * FROM c WHERE n >= 30),
+cand AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT lang, m, phrase, a, w, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM cand)),
+s AS (SELECT cut.*, fx.n AS l, fy.n AS r, CAST(2000000::HUGEINT * a // (fx.n + fy.n) AS BIGINT) AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, array_to_string(w[i:i + q - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(generate_series(1, m - q + 1)) AS i FROM cand, (SELECT unnest([2, 3]) AS q) WHERE q < m) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN sub ON b.lang = sub.lang AND b.phrase = sub.phrase WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT o.lang, rank, phrase, a, l, r, t.n, score FROM o JOIN t ON o.lang = t.lang WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": _OP5, "op6_jaccard_join": _OP6, "op8_quality": _OP8, "op13_phrase_mining": _OP13}
