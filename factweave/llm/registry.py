@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, htmltext, jaccard, langid, lm, phrases, prefixtrie, quality, shard, suffixdup, toxicity
+from . import bpe, decontaminate, htmltext, jaccard, langid, lm, phrases, prefixtrie, quality, shard, suffixdup, toxicity, winnow
 
 QUERIES = {
     "op1_suffix_dedup": suffixdup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": htmltext.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_prefix_trie": prefixtrie.op11_prefix_trie,
+    "op12_fingerprints": winnow.op12_fingerprints,
     "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 
