@@ -2,8 +2,8 @@
 
 Every word of a piece starts a suffix of at most four words. Suffixes are counted batch by batch where they are read, meet
 by language and first word, are sorted in reverse order, and one stack counts all their prefixes. Two exact savings come
-first: a phrase is no more frequent than its words, so suffixes end before a word that is too rare (a bit table of bounded
-size tells most rare words), and suffixes of one word are known from the word counts. A first word with more than a
+first: a phrase is no more frequent than its words and pairs of words, so suffixes end where a word or pair is too rare (bit
+tables of bounded size tell most rare ones), and suffixes of one word are known from the word counts. A first word with more than a
 ``1/HOT`` of all words is dealt to ``SALTS`` groups by the whole suffix; parts of its counts are added up afterwards.
 The parts l and r of each cut are then found by joins, and so are the longer phrases that swallow shorter ones.
 
@@ -19,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices, table, tidy, written
+from .common import mix, pack, rows_of, slices, table, tidy, unpack, written
 
 LONGEST = 4
 #: Bytes of text that are read at once.
 SEGMENT = 4 << 20
 #: A first word that makes up more than one in HOT of all words is dealt to SALTS groups; there are at most HOT such words.
 HOT, SALTS = 512, 64
-#: Bits of the table of frequent words: 16 for each, at most 1 << 29 (64 MB).
+#: Hashes of pairs that a task holds at once.
+HELD = 4 << 20
+#: The most bits of a table of frequent words or pairs (64 MB).
 MOST_BITS = 1 << 29
 
 #: Separators of pieces become full stops, tabs become spaces, A-Z lower case.
@@ -102,41 +105,130 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return said.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _place(lang: str, word: bytes, bits: int) -> int:
-    return zlib.crc32(lang.encode() + b"\t" + word) % bits
+def _place(lang: str, word: bytes) -> int:
+    return zlib.crc32(lang.encode() + b"\t" + word)
 
 
-def frequent(words: DataFrame, least: int) -> np.ndarray:
-    """A bit table of the words with ``least`` occurrences or more: others are told apart but for chance hits."""
-    often = words.filter(F.col("n") >= least)
-    bits = min(MOST_BITS, 1 << max(16, (16 * often.count()).bit_length()))
-    place = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\t"), F.col("word"))) % bits
-    cells = often.select(place.alias("p")).groupBy(F.expr("p div 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("cell")).toArrow()
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A bit table of hashes (h): 16 bits for each, at most MOST_BITS, so that others are told apart but for chance hits."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * hashes.count()).bit_length()))
+    place = F.pmod(F.col("h"), F.lit(bits))
+    cells = hashes.select(place.alias("p")).groupBy(F.expr("p div 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("cell")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[cells["at"].to_numpy()] = cells["cell"].to_numpy().astype(np.uint32)
     return out
 
 
-def suffixes(docs: DataFrame, often: np.ndarray, hot: dict[str, set[bytes]]) -> DataFrame:
-    """(lang, salt, w1, ..., w4, n): counted suffixes of two words or more, cut before rare words; salt -1 unless w1 is hot."""
-    sent = docs.sparkSession.sparkContext.broadcast((often, hot))
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h % (len(bits) * 32)
+    return bits[h >> 5] >> (h & 31).astype(np.uint32) & 1 > 0
+
+
+def frequent(words: DataFrame, least: int) -> np.ndarray:
+    """The bit table of words with ``least`` occurrences or more."""
+    named = F.concat(F.encode("lang", "UTF-8"), F.lit(b"\t"), F.col("word"))
+    return bit_table(words.filter(F.col("n") >= least).select(F.crc32(named).alias("h")))
+
+
+def _pairs(lang: str, codes: np.ndarray, names: pa.Array, often: np.ndarray, keep: int) -> np.ndarray:
+    """A hash of ``keep`` bits for each word and the next; -1 unless both may be frequent."""
+    texts = names.to_pylist()
+    known = np.append(_has(often, np.fromiter((_place(lang, w) for w in texts), np.int64, len(texts))), False)
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    value = np.append(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in texts), np.uint64, len(texts)), np.uint64(0))
+    word, ok = value[codes], known[codes]
+    out = np.full(len(codes), -1)
+    both = np.flatnonzero(ok[:-1] & ok[1:] & (codes[:-1] >= 0) & (codes[1:] >= 0))
+    out[both] = (mix(word[both] * np.uint64(0x9E3779B97F4A7C15) + mix(word[both + 1])) >> np.uint64(64 - keep)).astype(np.int64)
+    return out
+
+
+def _kept(total: int) -> int:
+    """Bits of a pair's hash by the number of words: two pairs with one hash only count as more frequent."""
+    return min(62, max(24, total.bit_length() + 6))
+
+
+def frequent_pairs(docs: DataFrame, often: np.ndarray, least: int, total: int) -> np.ndarray:
+    """The bit table of word pairs with ``least`` occurrences or more, counted by hashes that are dealt by range."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+    keep = _kept(total)
+    deal = min(keep, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // HELD).bit_length() + 1)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in slices(it, 1):
+            for lang, codes, own, names in _coded(batch):
+                found = _pairs(lang, codes, names, sent.value, keep)
+                held.append(np.unique(found[own & (found >= 0)], return_counts=True))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield from _dealt(*_added(held), keep - deal)
+                held = []
+        yield from _dealt(*_added(held), keep - deal)
+        tidy()
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blobs come sorted by part; those of one part are added up, some at a time."""
+        part, held = None, []
+
+        def told() -> pa.RecordBatch:
+            h, n = _added(held)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= least])], names=["h"])
+
+        for batch in it:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part:
+                    if held:
+                        yield told()
+                    part, held = p, []
+                gaps, n = unpack(blob)
+                held.append((np.cumsum(gaps, dtype=np.int64), n))
+                if len(held) > 1 and sum(len(h) for h, _ in held) > 2 * len(held[0][0]) + HELD:
+                    held = [_added(held)]
+        if held:
+            yield told()
+        tidy()
+
+    blobs = docs.select("lang", "text").mapInArrow(count, "part long, blob binary")
+    return bit_table(written(blobs.repartition("part").sortWithinPartitions("part").mapInArrow(add, "h long")))
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by hash, in order."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n[order], first) if len(h) else n
+
+
+def _dealt(h: np.ndarray, n: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
+    part = h >> shift
+    bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(h)).tolist()
+    if len(h):
+        blobs = [pack((np.diff(h[a:b], prepend=0), n[a:b].astype(np.min_scalar_type(n[a:b].max())))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]]), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def suffixes(docs: DataFrame, often: np.ndarray, pairs: np.ndarray, keep: int, hot: dict[str, set[bytes]]) -> DataFrame:
+    """(lang, salt, w1, ..., w4, n): counted suffixes of two words or more, cut before rare pairs; salt -1 unless w1 is hot."""
+    sent = docs.sparkSession.sparkContext.broadcast((often, pairs, hot))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, hot_ = sent.value
-        bits = len(table_) * 32
+        often_, pairs_, hot_ = sent.value
         for batch in slices(it, 1):
             for lang, codes, own, names in _coded(batch):
-                place = np.fromiter((_place(lang, w, bits) for w in names.to_pylist()), np.int64, len(names))
-                known = np.append(table_[place >> 5] >> (place & 31).astype(np.uint32) & 1 > 0, False)
-                codes = np.where(known[codes], codes, -1)
-                padded = np.concatenate((codes, np.full(LONGEST, -1)))
-                start = np.flatnonzero(own & (codes >= 0) & (padded[1 : len(codes) + 1] >= 0))
+                found = _pairs(lang, codes, names, often_, keep)
+                known = np.append((found >= 0) & _has(pairs_, np.maximum(found, 0)), np.zeros(LONGEST, bool))
+                padded = np.append(codes, np.full(LONGEST, -1))
+                start = np.flatnonzero(own & known[: len(codes)])
                 if not len(start):
                     continue
-                cols = [codes[start]]
+                cols, goes = [codes[start]], np.ones(len(start), bool)
                 for k in range(1, LONGEST):
-                    nxt = padded[start + k]
-                    cols.append(np.where(cols[-1] >= 0, nxt, -1))
+                    goes = goes & known[start + k - 1]
+                    cols.append(np.where(goes, padded[start + k], -1))
                 size = len(names) + 1
                 left, right = cols[0] * size + cols[1], (cols[2] + 1) * (size + 1) + cols[3] + 1
                 order = np.lexsort((right, left))
@@ -209,7 +301,8 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     for r in words.filter(F.col("n") > max(least, total // HOT)).select("lang", "word").collect():  # at most HOT rows
         hot.setdefault(r["lang"], set()).add(bytes(r["word"]))
     columns = [f"w{k}" for k in range(1, LONGEST + 1)]
-    met = suffixes(docs, frequent(words, least), hot).repartition("lang", "w1", "salt").sortWithinPartitions(*(F.desc(c) for c in ("w1", "lang", "salt", *columns[1:])))
+    often = frequent(words, least)
+    met = suffixes(docs, often, frequent_pairs(docs, often, least, total), _kept(total), hot).repartition("lang", "w1", "salt").sortWithinPartitions(*(F.desc(c) for c in ("w1", "lang", "salt", *columns[1:])))
     parts = met.mapInArrow(_prefixes(least), "lang string, salt int, words array<binary>, n long")
     return parts.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
