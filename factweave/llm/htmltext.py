@@ -25,7 +25,7 @@ _VALUE = re.compile(r"[^\s>]*")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg noembed noframes xmp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-DROP = set("script style noscript template textarea title iframe svg noembed noframes xmp nav footer aside form button select option input menu dialog head object embed canvas audio video label fieldset".split())
+DROP = set("script style noscript template textarea title iframe svg noembed noframes xmp nav footer aside button select option input menu dialog head object embed canvas audio video label fieldset".split())
 PARAGRAPH = set("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption div section article main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "th", "tr", "thead", "tfoot", "caption"}
@@ -199,13 +199,15 @@ def _walk(root: Node):
 
 
 def mark(root: Node) -> None:
-    """Say which elements are no part of a main text: by tag and role, and by names unless they hold most of the page."""
+    """Say which elements are no part of a main text: by tag and role, and forms and by names unless they hold most of the page."""
     todo, named = [root], []
     while todo:
         n = todo.pop()
         n.gone = n.tag in DROP or not n.own or n.role in _BAD_ROLES or n.tag == "header" and not n.inside
         if not n.gone:
-            if n.names and n.tag not in ("html", "body", "article", "main") and (by := judged(n.names)) < 0:
+            if n.tag == "form":
+                named.append((n, -1))
+            elif n.names and n.tag not in ("html", "body", "article", "main") and (by := judged(n.names)) < 0:
                 named.append((n, by))
             todo.extend(c for c in n.children if not isinstance(c, str))
     if not named:
@@ -309,10 +311,18 @@ def main_text(text: str | None) -> str:
             least = max(10.0, top * 0.2)
             beside = [c for c in best.parent.children if not isinstance(c, str) and not c.gone]
             sure = [k for k, c in enumerate(beside) if c is best or by.get(id(c), 0) >= least or c.tag in ("article", "p", "h1") and _long(c)]
-            kept = [c for k, c in enumerate(beside) if k in set(sure) or sure[0] < k < sure[-1] and c.score < 0.5]  # what stands between kept ones is kept
+            part = [k in sure or sure[0] < k < sure[-1] and c.score < 0.5 or _alike(c, best) for k, c in enumerate(beside)]  # what stands between kept ones is kept
+            kept = [c for c, keep in zip(beside, part, strict=True) if keep]
     return "\n".join(s for n in kept for s in blocks_of(n))
 
 
+def _alike(n: Node, best: Node) -> bool:
+    """Whether an element beside the best container is a part like it: in an article, or of its kind and names below the page's body."""
+    up = best.parent
+    among = up.inside or up.tag in ("article", "main") or up.role in ("main", "article") or judged(up.names) > 0
+    return n.score < 0.25 and (among or n.tag == best.tag and n.names == best.names and up.tag not in ("body", "html", "#root"))
+
+
 def _long(n: Node) -> bool:
     """Whether a paragraph beside the best container is one of the text: long, or a sentence, with few links."""
     s = " ".join(blocks_of(n))
