@@ -51,10 +51,13 @@ class Trie:
                         node = node.setdefault(c, {})
                     node[""] = t
         self.heads, self.tails = (sorted({len(x) for x in tries}) for tries in (self.front, self.back))
+        self.longest = max(map(len, terms), default=0)
 
     def near(self, word: str) -> set[str]:
         """Terms at one edit (insertion, deletion, substitution) from the word, which is none itself."""
         out: set[str] = set()
+        if len(word) > self.longest + 1:  # more than one edit from any term
+            return out
         for k in self.heads:
             if (root := self.front.get(word[:k])) is not None:
                 self._walk(root, word[k:], out)
@@ -110,7 +113,9 @@ class Model:
                 own = {t for t, kind in out if not kind}
                 if found := self.trie.near(whole) - own:
                     out = [x for x in out if x[0] not in found] + [(t, 2) for t in sorted(found)]
-            got = self.known[token] = tuple(out)
+            got = tuple(out)
+            if len(token) <= 4 * self.trie.longest:
+                self.known[token] = got
         return got
 
     def matches(self, text: str) -> list[tuple[int, str, int]]:
