@@ -199,16 +199,6 @@ def forgotten(spark, sf_dir):
     return c.select("obj", after).select("obj", F.coalesce(F.element_at("m", F.lit("N")), F.lit(0)).alias("n"))
 
 
-@query("shp02", "SELECT p.l_partkey AS slot, 0 AS known FROM (SELECT DISTINCT l_partkey FROM lineitem) p")
-def regions(spark, sf_dir):
-    """Slots (parts) that one operation (order) reads are one region; here only which slots have one."""
-    from ..operators import graph
-
-    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    found = graph.components(e).filter("node like 'p%'")
-    return found.select(F.substring("node", 2, 30).cast("long").alias("slot"), F.lit(0).alias("known"))
-
-
 @query("srt05")
 def increasing(spark, sf_dir):
     """A longest increasing run of prices over each customer's orders."""
