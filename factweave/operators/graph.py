@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -110,27 +110,47 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 
+def shared_prefix(a: str, b: str) -> Column:
+    """The longest common prefix of two array columns."""
+    return F.expr(f"slice({a}, 1, coalesce(nullif(array_position(transform(sequence(1, greatest(least(size({a}), size({b})), 1)), i -> {a}[i - 1] <=> {b}[i - 1]), false), 0) - 1, least(size({a}), size({b}))))")
+
+
+def dominator_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(graph, node, path): the dominators of the nodes that roots (graph, node) reach over edges (graph, src, dst), from the root to the node.
+
+    A node's path is what the paths of all its predecessors begin with, and itself. The common beginning of many arrays is
+    that of the least and the greatest, so predecessors meet in one aggregation with partial sums; paths only get shorter
+    once all nodes are reached, and nothing is kept of pairs of nodes.
+    """
+    e = written(edges.filter("src <> dst").select("graph", "src", "dst").distinct().join(roots.select("graph", F.col("node").alias("dst")), ["graph", "dst"], "left_anti"))
+    start = written(roots.select("graph", "node", F.array("node").alias("path")).distinct())
+    state = start
+    while True:
+        came = e.join(state.select("graph", F.col("node").alias("src"), "path"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+        new = written(came.select("graph", "node", F.concat(shared_prefix("lo", "hi"), F.array("node")).alias("path")).unionByName(start))
+        if new.join(state, ["graph", "node", "path"], "left_anti").isEmpty():
+            return new
+        state = new
+
+
 def dominators(edges: DataFrame, root) -> DataFrame:
-    """(node, dom): all dominators of the nodes that ``root`` reaches.
+    """(node, dom): all dominators of the nodes that ``root`` reaches."""
+    one = edges.sparkSession.createDataFrame([(root,)], edges.select(F.col("src").alias("node")).schema).select(F.lit(0).alias("graph"), "node")
+    return dominator_paths(edges.select(F.lit(0).alias("graph"), "src", "dst"), one).select("node", F.explode("path").alias("dom"))
+
+
+def exclusive(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(graph, set, exclusive): whether no path of edges (graph, src, dst) leads over two nodes of a set (graph, set, node).
 
-    A node is not dominated by x if some path from the root avoids x; these (node, x) pairs are what is derived: the
-    root avoids all others, and so does whatever an avoiding node other than x leads to.
+    Only from the asked nodes is followed what they reach; a set is exclusive if none of its nodes reaches another.
     """
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
-    live = written(reach(e, edges.sparkSession.createDataFrame([(root,)], edges.select(F.col("src").alias("node")).schema)))
-    inner = written(e.join(live, e["src"] == live["node"]).select("src", "dst"))
-    others = live.select(F.col("node").alias("dom"))
-    seed = others.filter(F.col("dom") != F.lit(root)).select(F.lit(root).alias("node"), "dom")
-    avoids = fixpoint(seed, lambda d, _: d.join(inner, d["node"] == inner["src"]).filter("dst <> dom").select(F.col("dst").alias("node"), "dom"))[0]
-    return _pairs(live, avoids)
-
-
-def _pairs(live: DataFrame, avoids: DataFrame) -> DataFrame:
-    """Pairs of live nodes that are not avoided. The result itself has at most a pair for each node and dominator."""
-    others = live.select(F.col("node").alias("dom"))
-    counted = avoids.groupBy("node").agg(F.collect_set("dom").alias("avoided"))
-    held = others.agg(F.collect_set("dom").alias("all"))  # of one function's graph
-    return live.join(counted, "node", "left").join(held).select("node", F.explode(F.array_except("all", F.coalesce("avoided", F.array_except("all", "all")))).alias("dom"))
+    e = edges.select("graph", "src", "dst").distinct()
+    asked = sets.select("graph", F.col("node").alias("begin")).distinct()
+    seed = e.join(asked, (e["graph"] == asked["graph"]) & (e["src"] == asked["begin"])).select(e["graph"], "begin", F.col("dst").alias("node"))
+    seen = fixpoint(seed, lambda d, _: d.join(e.withColumnRenamed("src", "node"), ["graph", "node"]).select("graph", "begin", F.col("dst").alias("node")))[0]
+    named = sets.select("graph", "set", "node").distinct()
+    met = seen.filter("begin <> node").join(named, ["graph", "node"]).join(named.select("graph", "set", F.col("node").alias("begin")), ["graph", "set", "begin"]).select("graph", "set").distinct()
+    return named.select("graph", "set").distinct().join(met.withColumn("met", F.lit(True)), ["graph", "set"], "left").select("graph", "set", F.col("met").isNull().alias("exclusive"))
 
 
 def immediate(doms: DataFrame) -> DataFrame:

@@ -82,3 +82,25 @@ def propagate(facts: DataFrame, invoke: DataFrame, killed: DataFrame) -> DataFra
         return came.join(k, (came["src"] == k["ks"]) & (came["op"] == k["ko"]) & (came["obj"] == k["kobj"]), "left_anti").select(F.col("src").alias("code"), "obj")
 
     return fixpoint(facts.select("code", "obj"), step)[0]
+
+
+def switched(alloc: DataFrame, copy: DataFrame, truths: DataFrame, branches: DataFrame, types: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(slot, obj) with deferred switches: what stands in a branch counts only once its condition may be so.
+
+    branches (cond, truth, src, dst) are copies in a branch that is taken when the condition's slot may hold an object of
+    that truth, truths (obj, truth); types (cond, kind, dst) pass on the objects of one kind, kinds (obj, kind). Branch copies join
+    the growing relation of copies when their first condition arrives, and then all that their source holds flows.
+    """
+    named = lambda kind, a, b: [F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")]
+    seed = alloc.select(*named("P", "slot", "obj")).unionByName(copy.select(*named("C", "src", "dst")))
+
+    def step(d: DataFrame, every: DataFrame) -> DataFrame:
+        holds = lambda f: f.filter("kind = 'P'").select("a", F.col("b").alias("obj"))
+        copied = lambda f: f.filter("kind = 'C'").select("a", F.col("b").alias("dst"))
+        went = holds(d).join(copied(every), "a").unionByName(holds(every).join(copied(d), "a")).select(*named("P", "dst", "obj"))
+        arrived = holds(d).withColumnRenamed("a", "cond")
+        opened = arrived.join(truths, "obj").select("cond", "truth").distinct().join(branches, ["cond", "truth"]).select(*named("C", "src", "dst"))
+        sorted_ = arrived.join(kinds, "obj").join(types, ["cond", "kind"]).select(F.lit("P").alias("kind"), F.col("dst").alias("a"), F.col("obj").alias("b"))
+        return went.unionByName(opened).unionByName(sorted_)
+
+    return fixpoint(seed, step)[0].filter("kind = 'P'").select(F.col("a").alias("slot"), F.col("b").alias("obj"))
