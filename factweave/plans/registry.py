@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analyses, audit, between, bodies, calls, flows, graphs, more, programs, relational, scalars, services, shapes, structure  # noqa: F401
+from . import analyses, audit, between, bodies, calls, flows, graphs, ingestion, more, programs, relational, scalars, services, shapes, structure  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "win01"

@@ -20,3 +20,14 @@ def follow(spark: SparkSession, path: str, schema: str, checkpoint: str, sink: C
     stream = spark.readStream.schema(schema).parquet(path)
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, key: list[str], ts: str | None = None, late: str = "1 hour") -> None:
+    """Take all files of a folder that are new since the last run into the Parquet table ``out``, each key once.
+
+    The checkpoint holds which files were read and which keys were seen, so runs may stop and start again; with an event
+    time column ``ts`` keys are only remembered for as long as ``late``, else for ever.
+    """
+    rows = spark.readStream.schema(schema).parquet(path)
+    once = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(key) if ts else rows.dropDuplicates(key)
+    once.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
