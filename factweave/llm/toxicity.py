@@ -291,6 +291,7 @@ def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in slices(it, column):
             (texts,) = rows_of(batch, "text")
             yield batch.filter(pa.array([m.score(t) < least for t in texts], type=pa.bool_()))
+        m.known.clear()  # the broadcast model outlives the task
         tidy()
 
     return docs.mapInArrow(run, docs.schema)
