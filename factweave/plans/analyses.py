@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import combinatorics, conditions, pointsto, shape
 from ..shared import written
-from .base import EDGE, FLOW, edges, flow, query, table
+from .base import EDGE, FLOW, edges, flow, nodes, program, query, roots, table
 
 
 def _text(c):
@@ -16,9 +16,10 @@ def _text(c):
 
 
 def _program(spark, sf_dir):
-    """Nations as slots: each allocates itself; flows of the priorities are copies, loads and stores."""
-    f = written(flow(spark, sf_dir))
-    own = table(spark, sf_dir, "nation").select(_text("n_nationkey").alias("slot"), F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("obj"))
+    """All lines as slots: each allocates itself; flows by their kinds are copies, loads and stores."""
+    every, f = program(spark, sf_dir)
+    f = written(f)
+    own = every.select(_text("id").alias("slot"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("obj"))
     pick = lambda k: f.filter(F.col("kind") == k)
     copy = pick("1-URGENT").select(_text("src").alias("src"), _text("dst").alias("dst"))
     load = pick("2-HIGH").select(_text("dst").alias("dst"), _text("src").alias("base"), F.lit("f").alias("field"))
@@ -26,7 +27,7 @@ def _program(spark, sf_dir):
     return own, copy, load, store
 
 
-_COPY = f"WITH RECURSIVE {FLOW}, copy AS (SELECT DISTINCT 'n' || src AS src, 'n' || dst AS dst FROM flow WHERE kind = '1-URGENT'), pts(slot, obj) AS (SELECT 'n' || n_nationkey, 'o' || n_nationkey FROM nation UNION SELECT c.dst, p.obj FROM pts p JOIN copy c ON p.slot = c.src)"
+_COPY = f"WITH RECURSIVE {FLOW}, copy AS (SELECT DISTINCT 'n' || src AS src, 'n' || dst AS dst FROM flow WHERE kind = '1-URGENT'), pts(slot, obj) AS (SELECT 'n' || id, 'o' || id FROM node UNION SELECT c.dst, p.obj FROM pts p JOIN copy c ON p.slot = c.src)"
 
 
 @query("pts03", f"{_COPY} SELECT slot, obj FROM pts")
@@ -40,7 +41,7 @@ def solver(spark, sf_dir):
     return pointsto.solve(*_program(spark, sf_dir))
 
 
-@query("pts04", "SELECT 'n' || n_nationkey AS slot, 'o' || n_nationkey AS obj FROM nation")
+@query("pts04", f"WITH {FLOW} SELECT 'n' || id AS slot, 'o' || id AS obj FROM node")
 def allocations(spark, sf_dir):
     return _program(spark, sf_dir)[0]
 
@@ -65,11 +66,11 @@ def annotated(spark, sf_dir):
     return pointsto.flow(own, copy).groupBy("slot").agg(F.array_sort(F.collect_set("obj")).alias("objects"))
 
 
-@query("pts11", f"WITH {FLOW} SELECT DISTINCT 'n' || f.src AS slot FROM flow f WHERE f.kind = '1-URGENT' AND f.src >= 5 AND NOT EXISTS (SELECT 1 FROM flow g WHERE g.kind = '1-URGENT' AND g.dst = f.src)")
+@query("pts11", f"WITH {FLOW} SELECT DISTINCT 'n' || f.src AS slot FROM flow f WHERE f.kind = '1-URGENT' AND f.src NOT IN (SELECT id FROM node WHERE top) AND NOT EXISTS (SELECT 1 FROM flow g WHERE g.kind = '1-URGENT' AND g.dst = f.src)")
 def root_causes(spark, sf_dir):
-    """Unresolved copies when only the first five nations allocate."""
+    """Unresolved copies when only orders' first lines allocate."""
     own, copy, _, _ = _program(spark, sf_dir)
-    few = own.filter(F.col("slot").isin(*[f"n{k}" for k in range(5)]))
+    few = own.join(roots(spark, sf_dir).select(_text("node").alias("slot")), "slot", "left_semi")
     return pointsto.unresolved(written(pointsto.flow(few, copy)), copy)
 
 
@@ -87,7 +88,7 @@ def downward(spark, sf_dir):
     return own.join(invoke, "slot").select(F.col("to").alias("slot"), "obj", F.lit("DN").alias("qualifier"))
 
 
-_KILL = f"WITH RECURSIVE {FLOW}, call AS (SELECT DISTINCT src, kind, dst FROM flow), facts(code, obj) AS (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT c.src, f.obj FROM facts f JOIN call c ON f.code = c.dst WHERE NOT (c.kind = '5-LOW' AND f.obj = 0))"
+_KILL = f"WITH RECURSIVE {FLOW}, call AS (SELECT DISTINCT src, kind, dst FROM flow), facts(code, obj) AS (SELECT id, region FROM node UNION SELECT c.src, f.obj FROM facts f JOIN call c ON f.code = c.dst WHERE NOT (c.kind = '5-LOW' AND f.obj = 0))"
 
 
 @query("lif05", f"{_KILL} SELECT code, obj FROM facts")
@@ -98,7 +99,7 @@ def read_modify(spark, sf_dir):
 
 def _reads(spark, sf_dir):
     calls = written(flow(spark, sf_dir).select("src", F.col("kind").alias("op"), "dst"))
-    facts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("obj"))
+    facts = nodes(spark, sf_dir).select(F.col("id").alias("code"), F.col("region").alias("obj"))
     killed = calls.filter("op = '5-LOW'").select("src", "op", F.lit(0).alias("obj"))
     return pointsto.propagate(facts, calls, killed), calls
 
@@ -111,12 +112,12 @@ def propagated(spark, sf_dir):
     return facts.join(calls, facts["code"] == calls["src"]).join(below, ["dst", "obj"]).select("code", "op", "obj").distinct()
 
 
-@query("lif02", f"WITH RECURSIVE {EDGE}, seen(node) AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst FROM seen s JOIN edge e ON s.node = e.src) SELECT node FROM seen")
+@query("lif02", f"WITH RECURSIVE {EDGE}, seen(node) AS (SELECT id FROM node WHERE region = 0 UNION SELECT e.dst FROM seen s JOIN edge e ON s.node = e.src) SELECT node FROM seen")
 def visible(spark, sf_dir):
-    """What is visible from the existing objects: the first region's nations."""
+    """What is visible from the existing objects: finished lines."""
     from ..operators import graph
 
-    return graph.reach(edges(spark, sf_dir), table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("node")))
+    return graph.reach(edges(spark, sf_dir), nodes(spark, sf_dir).filter("region = 0").select(F.col("id").alias("node")))
 
 
 @query("lif03", f"WITH RECURSIVE {EDGE}, held(src, dst) AS (SELECT src, dst FROM edge UNION SELECT h.src, e.dst FROM held h JOIN edge e ON h.dst = e.src) SELECT dst AS object, count(DISTINCT src) AS holders FROM held GROUP BY dst")
@@ -217,7 +218,8 @@ def common(spark, sf_dir):
 
 
 def _kinds(spark, sf_dir):
-    return flow(spark, sf_dir).select("kind", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    """Each order's graph by its lines' numbers."""
+    return flow(spark, sf_dir).select(F.expr("cast(src div 10 as string)").alias("kind"), (F.col("src") % 10).alias("src"), (F.col("dst") % 10).alias("dst"))
 
 
 @query("gra15")
@@ -247,13 +249,12 @@ def exclusive(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.bit_and(m) == 0).alias("exclusive"))
 
 
-@query("opt11", f"WITH RECURSIVE {EDGE}, live(node) AS (SELECT min(src) FROM edge UNION SELECT e.dst FROM live l JOIN edge e ON l.node = e.src) SELECT n_nationkey AS code FROM nation WHERE n_nationkey NOT IN (SELECT node FROM live)")
+@query("opt11", f"WITH RECURSIVE {EDGE}, live(node) AS (SELECT id FROM node WHERE top UNION SELECT e.dst FROM live l JOIN edge e ON l.node = e.src) SELECT id AS code FROM node WHERE id NOT IN (SELECT node FROM live)")
 def culled(spark, sf_dir):
     from ..operators import graph
 
-    e = edges(spark, sf_dir)
-    live = graph.reach(e, e.agg(F.min("src").alias("node")))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code")).join(live, F.col("code") == live["node"], "left_anti")
+    live = graph.reach(edges(spark, sf_dir), roots(spark, sf_dir))
+    return nodes(spark, sf_dir).select(F.col("id").alias("code")).join(live, F.col("code") == live["node"], "left_anti")
 
 
 @query("opt05", "SELECT event_id AS load, src AS source FROM (SELECT event_id, event_type, max(CASE WHEN event_type IN ('view', 'purchase') THEN event_id END) OVER (PARTITION BY user_id, value ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM events) WHERE event_type = 'view' AND src IS NOT NULL")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -29,42 +31,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight, kind): for each customer nation and order priority the foreign supplier nation with most lines.
+def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, flow) of the programs that orders describe, one graph for each order, from all lines.
 
-    A small cyclic graph from whole tables, which stands for a call graph; its size does not grow with the data.
+    nodes (id, top, bottom, region): a line's id is ten times its order's number and its own; the first is top, the last bottom.
+    flow (src, dst, weight, kind): a line leads to the next one, some (R) also to the one after it, others (A) only there; the last
+    line of some orders leads back to the first.
     """
-    t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
-    named = lines.join(t("supplier").select("s_suppkey", "s_nationkey"), lines["l_suppkey"] == F.col("s_suppkey"))
-    per_order = named.groupBy("l_orderkey", "s_nationkey").agg(F.sum("n").alias("n"))
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    customers = t("customer").select("c_custkey", "c_nationkey")
-    counted = (
-        per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"])
-        .join(customers, F.col("o_custkey") == customers["c_custkey"])
-        .groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("o_orderpriority").alias("kind"))
-        .agg(F.sum("n").alias("weight"))
-        .filter("src <> dst")
-    )
-    best = counted.groupBy("src", "kind").agg(F.max_by(F.struct("dst", "weight"), F.struct("weight", -F.col("dst"))).alias("b"))
-    return best.select("src", "b.dst", "b.weight", "kind")
-
-
-#: ``flow`` in SQL, as a common table expression.
-FLOW = """flow AS (
-  SELECT src, dst, weight, kind FROM (
-    SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY weight DESC, dst) AS k FROM (
-      SELECT c_nationkey AS src, s_nationkey AS dst, o_orderpriority AS kind, count(*) AS weight
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-      WHERE c_nationkey <> s_nationkey GROUP BY ALL)) WHERE k = 1)"""
-
-#: The edges of ``flow`` for the two outer priorities.
-EDGE = FLOW + """, edge AS (SELECT DISTINCT src, dst FROM flow WHERE kind IN ('1-URGENT', '5-LOW'))"""
+    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("p"), F.col("l_linenumber").alias("j")).agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").cast("long").alias("weight"))
+    w, whole = Window.partitionBy("p").orderBy("j"), Window.partitionBy("p")
+    l = written(one.select("*", F.lead("j").over(w).alias("next"), F.lead("j", 2).over(w).alias("after"), F.min("j").over(whole).alias("first"), F.max("j").over(whole).alias("last")))
+    at = lambda j: (F.col("p") * 10 + F.col(j)).cast("long")
+    kind = F.when(F.col("flag") == "R", "3-MEDIUM").when(F.col("flag") == "N", F.when(F.col("status") == "O", "1-URGENT").otherwise("2-HIGH")).otherwise(F.when(F.col("status") == "O", "4-NOT SPECIFIED").otherwise("5-LOW"))
+    edge = lambda dst, where: l.filter(where).select(at("j").alias("src"), at(dst).alias("dst"), "weight", kind.alias("kind"))
+    f = edge("next", "next is not null and (flag <> 'A' or after is null)").union(edge("after", "after is not null and flag <> 'N'")).union(edge("first", "j = last and j > first and status = 'F'"))
+    return l.select(at("j").alias("id"), (F.col("j") == F.col("first")).alias("top"), (F.col("j") == F.col("last")).alias("bottom"), F.when(F.col("status") == "F", 0).otherwise(1).alias("region")), f
+
+
+#: ``program`` in SQL, as common table expressions.
+FLOW = """line AS (SELECT *, lead(j) OVER w AS next, lead(j, 2) OVER w AS after, min(j) OVER (PARTITION BY p) AS first, max(j) OVER (PARTITION BY p) AS last
+    FROM (SELECT l_orderkey AS p, l_linenumber AS j, max(l_returnflag) AS flag, max(l_linestatus) AS status, CAST(trunc(max(l_quantity)) AS BIGINT) AS weight FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY p ORDER BY j)),
+  node AS (SELECT CAST(p * 10 + j AS BIGINT) AS id, j = first AS top, j = last AS bottom, CASE status WHEN 'F' THEN 0 ELSE 1 END AS region FROM line),
+  flow AS (SELECT CAST(p * 10 + j AS BIGINT) AS src, CAST(p * 10 + k AS BIGINT) AS dst, weight, CASE WHEN flag = 'R' THEN '3-MEDIUM' WHEN flag = 'N' AND status = 'O' THEN '1-URGENT' WHEN flag = 'N' THEN '2-HIGH' WHEN status = 'O' THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS kind FROM (
+    SELECT *, next AS k FROM line WHERE next IS NOT NULL AND (flag <> 'A' OR after IS NULL) UNION ALL SELECT *, after FROM line WHERE after IS NOT NULL AND flag <> 'N' UNION ALL SELECT *, first FROM line WHERE j = last AND j > first AND status = 'F'))"""
+
+#: The edges of ``flow``.
+EDGE = FLOW + """, edge AS (SELECT DISTINCT src, dst FROM flow)"""
+
+
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return program(spark, sf_dir)[1]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return program(spark, sf_dir)[0]
+
+
+def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node): every order's first line."""
+    return nodes(spark, sf_dir).filter("top").select(F.col("id").alias("node"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow(spark, sf_dir).filter(F.col("kind").isin("1-URGENT", "5-LOW")).select("src", "dst").distinct()
+    return flow(spark, sf_dir).select("src", "dst").distinct()
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:

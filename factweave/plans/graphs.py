@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..shared import written
-from .base import EDGE, FLOW, TREE, edges, flow, query, table, tree
+from .base import EDGE, FLOW, TREE, edges, flow, nodes, query, roots, table, tree
 
 _REACH = f"WITH RECURSIVE {EDGE}, walk(src, dst) AS (SELECT src, dst FROM edge UNION SELECT w.src, e.dst FROM walk w JOIN edge e ON w.dst = e.src)"
 
@@ -15,10 +15,9 @@ def _root(spark, sf_dir, e):
     return e.agg(F.min("src").alias("node"))
 
 
-@query("gra01", f"{_REACH} SELECT min(src) AS node FROM edge UNION SELECT dst FROM walk WHERE src = (SELECT min(src) FROM edge)")
+@query("gra01", f"{_REACH} SELECT id AS node FROM node WHERE top UNION SELECT dst FROM walk WHERE src IN (SELECT id FROM node WHERE top)")
 def reach(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.reach(e, _root(spark, sf_dir, e))
+    return graph.reach(edges(spark, sf_dir), roots(spark, sf_dir))
 
 
 @query("gra02", f"WITH RECURSIVE {TREE}, lv AS (SELECT node, 0 AS level FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, lv.level + 1 FROM tree t JOIN lv ON t.parent = lv.node) SELECT node, level FROM lv WHERE node IN (SELECT node FROM tree WHERE parent IS NOT NULL UNION SELECT parent FROM tree)")
@@ -36,15 +35,21 @@ def strong(spark, sf_dir):
     return graph.strong_components(edges(spark, sf_dir))
 
 
-_DOM = f"""WITH RECURSIVE {EDGE}, root AS (SELECT min(src) AS r FROM edge), live(node) AS (SELECT r FROM root UNION SELECT e.dst FROM live l JOIN edge e ON l.node = e.src),
- avoid(node, dom) AS (SELECT r, l.node FROM root, live l WHERE l.node <> r UNION SELECT e.dst, a.dom FROM avoid a JOIN edge e ON a.node = e.src WHERE e.dst <> a.dom),
- dom AS (SELECT a.node, b.node AS dom FROM live a, live b WHERE NOT EXISTS (SELECT 1 FROM avoid v WHERE v.node = a.node AND v.dom = b.node)),
+_DOM = f"""WITH RECURSIVE {EDGE}, root AS (SELECT id AS r FROM node WHERE top), live(node) AS (SELECT r FROM root UNION SELECT e.dst FROM live l JOIN edge e ON l.node = e.src),
+ avoid(node, dom) AS (SELECT r, l.node FROM root JOIN live l ON l.node // 10 = r // 10 WHERE l.node <> r UNION SELECT e.dst, a.dom FROM avoid a JOIN edge e ON a.node = e.src WHERE e.dst <> a.dom),
+ dom AS (SELECT a.node, b.node AS dom FROM live a JOIN live b ON a.node // 10 = b.node // 10 LEFT JOIN avoid v ON v.node = a.node AND v.dom = b.node WHERE v.node IS NULL),
  idom AS (SELECT d.node, arg_max(d.dom, c.n) AS idom FROM dom d JOIN (SELECT node, count(*) AS n FROM dom GROUP BY node) c ON d.dom = c.node WHERE d.node <> d.dom GROUP BY d.node)"""
 
 
 def _doms(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return e, graph.dominators(e, e.agg(F.min("src")).first()[0])
+    """The edges of all orders' graphs and their dominators (node, dom), from each order's first line."""
+    e = written(edges(spark, sf_dir))
+    return e, _from(e, roots(spark, sf_dir))
+
+
+def _from(e, begin):
+    of = F.expr("src div 10").alias("graph")
+    return written(graph.dominator_paths(e.select(of, "src", "dst"), begin.select(F.expr("node div 10").alias("graph"), "node")).select("node", F.explode("path").alias("dom")))
 
 
 @query("gra05", f"{_DOM} SELECT node, idom FROM idom")
@@ -80,10 +85,10 @@ def dominance_frontier(spark, sf_dir):
     return graph.frontier(*_doms(spark, sf_dir))
 
 
-@query("gra10", _DOM.replace("edge AS (SELECT DISTINCT src, dst", "edge AS (SELECT DISTINCT dst AS src, src AS dst").replace("min(src) AS r", "min(src) AS r") + " SELECT node, dom FROM dom")
+@query("gra10", _DOM.replace("edge AS (SELECT DISTINCT src, dst", "edge AS (SELECT DISTINCT dst AS src, src AS dst").replace("FROM node WHERE top), live", "FROM node WHERE bottom), live") + " SELECT node, dom FROM dom")
 def post_dominators(spark, sf_dir):
-    e = graph.reverse(edges(spark, sf_dir))
-    return graph.dominators(e, e.agg(F.min("src")).first()[0])
+    """Dominators of the reversed graphs, from each order's last line."""
+    return _from(written(graph.reverse(edges(spark, sf_dir))), nodes(spark, sf_dir).filter("bottom").select(F.col("id").alias("node")))
 
 
 @query("gra11", f"WITH {TREE} SELECT DISTINCT t.node FROM tree t WHERE t.parent IS NULL AND EXISTS (SELECT 1 FROM tree c WHERE c.parent = t.node)")
@@ -91,19 +96,17 @@ def entries(spark, sf_dir):
     return graph.entry_points(tree(spark, sf_dir).filter("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst")))
 
 
-_LEVELS = f"WITH RECURSIVE {EDGE}, lv(node, level) AS (SELECT min(src), 0 FROM edge UNION SELECT e.dst, l.level + 1 FROM lv l JOIN edge e ON l.node = e.src WHERE l.level < 25) SELECT node, min(level) AS level FROM lv GROUP BY node"
+_LEVELS = f"WITH RECURSIVE {EDGE}, lv(node, level) AS (SELECT id, 0 FROM node WHERE top UNION SELECT e.dst, l.level + 1 FROM lv l JOIN edge e ON l.node = e.src WHERE l.level < 25) SELECT node, min(level) AS level FROM lv GROUP BY node"
 
 
 @query("gra12", _LEVELS)
 def bfs(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.levels(e, _root(spark, sf_dir, e))
+    return graph.levels(edges(spark, sf_dir), roots(spark, sf_dir))
 
 
 @query("srt09", f"SELECT node, level FROM ({_LEVELS}) WHERE level <= 2")
 def depth_limit(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return graph.levels(e, _root(spark, sf_dir, e), 2)
+    return graph.levels(edges(spark, sf_dir), roots(spark, sf_dir), 2)
 
 
 @query("gra13", "SELECT user_id AS node, min(user_id) OVER (PARTITION BY c) AS component FROM (SELECT DISTINCT user_id, 0 AS c FROM events) WHERE (SELECT count(DISTINCT event_type) FROM events) > 0")
@@ -117,7 +120,7 @@ def connected(spark, sf_dir):
 
 @query("gra14")
 def spanning(spark, sf_dir):
-    """The minimum spanning forest of the nations by lines between them."""
+    """The minimum spanning forest of the orders' graphs, by quantity."""
     return graph.spanning_tree(flow(spark, sf_dir).select("src", "dst", "weight"))
 
 
@@ -184,11 +187,11 @@ def call_graph_container(spark, sf_dir):
     return flow(spark, sf_dir).groupBy(F.col("src").alias("caller")).agg(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ", ").alias("callees"))
 
 
-@query("cgr04", f"{_REACH}, root AS (SELECT min(src) AS r FROM edge) SELECT 'none' AS caller, CAST(r AS VARCHAR) AS callee FROM root UNION SELECT CAST(e.src AS VARCHAR), CAST(e.dst AS VARCHAR) FROM edge e WHERE e.src IN (SELECT r FROM root UNION SELECT dst FROM walk, root WHERE src = r)")
+@query("cgr04", f"{_REACH}, root AS (SELECT id AS r FROM node WHERE top) SELECT 'none' AS caller, CAST(r AS VARCHAR) AS callee FROM root UNION SELECT CAST(e.src AS VARCHAR), CAST(e.dst AS VARCHAR) FROM edge e WHERE e.src IN (SELECT r FROM root UNION SELECT dst FROM walk, root WHERE src = r)")
 def live_code(spark, sf_dir):
     """Edges from live callers, with a virtual head before the entry point."""
     e = edges(spark, sf_dir)
-    root = _root(spark, sf_dir, e)
+    root = written(roots(spark, sf_dir))
     live = graph.reach(e, root)
     text = lambda c: F.col(c).cast("string")
     return root.select(F.lit("none").alias("caller"), text("node").alias("callee")).union(e.join(live, e["src"] == live["node"]).select(text("src"), text("dst"))).distinct()

@@ -9,7 +9,7 @@ from ..operators import conditions, flow, graph, lattice, pointsto
 from ..operators.fixpoint import fixpoint
 from ..shared import written
 from .analyses import _KILL, _TREES, _program, _reads, _trees
-from .base import EDGE, FLOW, TREE, edges, query, table, tree
+from .base import EDGE, FLOW, TREE, edges, nodes as program_nodes, query, roots, table, tree
 from .base import flow as flow_edges
 from .programs import files, nodes
 
@@ -42,7 +42,7 @@ def contexts(spark, sf_dir):
     return s.withColumn("ctx", F.md5("signature"))
 
 
-_COPYCTE = f"WITH RECURSIVE {FLOW}, copy AS (SELECT DISTINCT 'n' || src AS src, 'n' || dst AS dst FROM flow WHERE kind = '1-URGENT'), pts(slot, obj) AS (SELECT 'n' || n_nationkey, 'o' || n_nationkey FROM nation UNION SELECT c.dst, p.obj FROM pts p JOIN copy c ON p.slot = c.src)"
+_COPYCTE = f"WITH RECURSIVE {FLOW}, copy AS (SELECT DISTINCT 'n' || src AS src, 'n' || dst AS dst FROM flow WHERE kind = '1-URGENT'), pts(slot, obj) AS (SELECT 'n' || id, 'o' || id FROM node UNION SELECT c.dst, p.obj FROM pts p JOIN copy c ON p.slot = c.src)"
 
 
 @query("joi04", f"{_COPYCTE} SELECT DISTINCT '@' || p.obj || '.f' AS src, 'n' || f.dst AS dst FROM flow f JOIN pts p ON p.slot = 'n' || f.src WHERE f.kind = '2-HIGH'")
@@ -69,11 +69,11 @@ def exact_split(spark, sf_dir):
     return pointsto.flow(own, copy).groupBy("obj").agg(F.count("*").alias("slots"))
 
 
-@query("ipa15", f"{_COPYCTE} SELECT DISTINCT slot FROM pts WHERE obj IN ('o0', 'o5')")
+@query("ipa15", f"{_COPYCTE} SELECT DISTINCT slot FROM pts WHERE obj IN (SELECT 'o' || id FROM node WHERE top)")
 def criticals(spark, sf_dir):
-    """Slots that critical names (two nations) reach."""
+    """Slots that critical names (orders' first lines) reach."""
     own, copy, _, _ = _program(spark, sf_dir)
-    return pointsto.flow(own.filter(F.col("obj").isin("o0", "o5")), copy).select("slot").distinct()
+    return pointsto.flow(own.join(roots(spark, sf_dir).select(F.concat(F.lit("o"), F.col("node").cast("string")).alias("obj")), "obj", "left_semi"), copy).select("slot").distinct()
 
 
 @query("ipa13", "SELECT c_custkey AS obj, CASE WHEN c_nationkey = 0 THEN 'GLBL' WHEN c_acctbal < 0 THEN 'DN' WHEN c_acctbal > 9000 THEN 'UP' ELSE 'HZ' END AS qualifier FROM customer")
@@ -121,11 +121,12 @@ def priorities(spark, sf_dir):
     return up
 
 
-@query("srt03", f"WITH {EDGE}, b AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge) SELECT src AS node, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, src) AS place FROM b GROUP BY src")
+@query("srt03", f"WITH {EDGE}, b AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge) SELECT src AS node, count(*) AS degree, row_number() OVER (PARTITION BY src // 10 ORDER BY count(*) DESC, src) AS place FROM b GROUP BY src")
 def by_degree(spark, sf_dir):
+    """Each program's nodes, those with most neighbours first."""
     e = edges(spark, sf_dir)
     both = e.union(e.select("dst", "src")).distinct().groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    return both.withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "node")))  # 25 nodes
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(F.expr("node div 10")).orderBy(F.desc("degree"), "node")))
 
 
 @query("srt07", "SELECT o_orderkey, k, (k + coalesce(lead(k) OVER (PARTITION BY o_custkey ORDER BY k), k + 1)) / 2.0 AS between FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)")
@@ -147,28 +148,26 @@ def conditional_sets(spark, sf_dir):
 
 def _walk(spark, sf_dir, limit):
     e = written(edges(spark, sf_dir))
-    seed = e.agg(F.min("src").alias("node"))
-    return fixpoint(seed, lambda d, _: d.join(e, d["node"] == e["src"]).select(F.col("dst").alias("node")), limit=limit)
+    return fixpoint(roots(spark, sf_dir), lambda d, _: d.join(e, d["node"] == e["src"]).select(F.col("dst").alias("node")), limit=limit)
 
 
-@query("str01", f"WITH RECURSIVE {EDGE}, w(node) AS (SELECT min(src) FROM edge UNION SELECT e.dst FROM w JOIN edge e ON w.node = e.src) SELECT count(*) AS nodes, true AS converged FROM w")
+@query("str01", f"WITH RECURSIVE {EDGE}, w(node) AS (SELECT id FROM node WHERE top UNION SELECT e.dst FROM w JOIN edge e ON w.node = e.src) SELECT count(*) AS nodes, true AS converged FROM w")
 def worklist(spark, sf_dir):
     rows, _, converged = _walk(spark, sf_dir, None)
     return rows.agg(F.count("*").alias("nodes"), F.lit(converged).alias("converged"))
 
 
-@query("str03", f"WITH {EDGE}, r AS (SELECT min(src) AS node FROM edge) SELECT count(*) AS nodes, false AS converged FROM (SELECT node FROM r UNION SELECT e.dst FROM r JOIN edge e ON r.node = e.src)")
+@query("str03", f"WITH {EDGE}, r AS (SELECT id AS node FROM node WHERE top) SELECT count(*) AS nodes, false AS converged FROM (SELECT node FROM r UNION SELECT e.dst FROM r JOIN edge e ON r.node = e.src)")
 def limited(spark, sf_dir):
     """One round only: the result says that it has not converged."""
     rows, _, converged = _walk(spark, sf_dir, 1)
     return rows.agg(F.count("*").alias("nodes"), F.lit(converged).alias("converged"))
 
 
-@query("str02", f"WITH RECURSIVE {EDGE}, lv(node, level) AS (SELECT min(src), 0 FROM edge UNION SELECT e.dst, l.level + 1 FROM lv l JOIN edge e ON l.node = e.src WHERE l.level < 25), m AS (SELECT node, min(level) AS level FROM lv GROUP BY node) SELECT level AS round, count(*) AS fresh FROM m GROUP BY level")
+@query("str02", f"WITH RECURSIVE {EDGE}, lv(node, level) AS (SELECT id, 0 FROM node WHERE top UNION SELECT e.dst, l.level + 1 FROM lv l JOIN edge e ON l.node = e.src WHERE l.level < 25), m AS (SELECT node, min(level) AS level FROM lv GROUP BY node) SELECT level AS round, count(*) AS fresh FROM m GROUP BY level")
 def deltas(spark, sf_dir):
     """How many nodes each round of propagation adds."""
-    e = edges(spark, sf_dir)
-    return graph.levels(e, e.agg(F.min("src").alias("node"))).groupBy(F.col("level").alias("round")).agg(F.count("*").alias("fresh"))
+    return graph.levels(edges(spark, sf_dir), roots(spark, sf_dir)).groupBy(F.col("level").alias("round")).agg(F.count("*").alias("fresh"))
 
 
 @query("irx01", "SELECT p_partkey AS file_id, 'Return' AS kind, 2 AS n FROM part UNION ALL SELECT p_partkey, 'arg', 2 FROM part UNION ALL SELECT p_partkey, 'Assign', 1 FROM part")
@@ -247,11 +246,10 @@ def result_database(spark, sf_dir):
     return _reads(spark, sf_dir)[0].groupBy("code").agg(F.array_sort(F.collect_set("obj")).alias("live"))
 
 
-@query("dfi04", f"WITH RECURSIVE {EDGE}, live(node) AS (SELECT max(dst) FROM edge UNION SELECT e.src FROM live l JOIN edge e ON l.node = e.dst) SELECT node FROM live")
+@query("dfi04", f"WITH RECURSIVE {EDGE}, live(node) AS (SELECT id FROM node WHERE bottom UNION SELECT e.src FROM live l JOIN edge e ON l.node = e.dst) SELECT node FROM live")
 def needed(spark, sf_dir):
     """Operations that the exit needs: reachable over reversed edges."""
-    e = edges(spark, sf_dir)
-    return graph.reach(graph.reverse(e), e.agg(F.max("dst").alias("node")))
+    return graph.reach(graph.reverse(edges(spark, sf_dir)), program_nodes(spark, sf_dir).filter("bottom").select(F.col("id").alias("node")))
 
 
 @query("dfi07", "SELECT l_orderkey AS op, list_sort(list_distinct(list(l_partkey) FILTER (l_returnflag <> 'R'))) AS read, list_sort(list_distinct(list(l_partkey) FILTER (l_returnflag = 'R'))) AS modify FROM lineitem GROUP BY ALL")
@@ -261,10 +259,10 @@ def annotations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("op")).agg(side(~r).alias("read"), side(r).alias("modify"))
 
 
-@query("cnd08", f"WITH RECURSIVE {EDGE}, walk(src, dst) AS (SELECT src, dst FROM edge UNION SELECT w.src, e.dst FROM walk w JOIN edge e ON w.dst = e.src) SELECT count(*) > 0 AS recursive FROM walk WHERE src = dst")
+@query("cnd08", f"WITH RECURSIVE {EDGE}, walk(src, dst) AS (SELECT src, dst FROM edge UNION SELECT w.src, e.dst FROM walk w JOIN edge e ON w.dst = e.src) SELECT src // 10 AS program, bool_or(src = dst) AS recursive FROM walk GROUP BY src // 10")
 def recursion_guard(spark, sf_dir):
-    """Whether a program is recursive, in which case the network is refused."""
-    return graph.closure(edges(spark, sf_dir), cycles=True).agg((F.count_if(F.col("src") == F.col("dst")) > 0).alias("recursive"))
+    """Which programs are recursive: their networks are refused."""
+    return graph.closure(edges(spark, sf_dir), cycles=True).groupBy(F.expr("src div 10").alias("program")).agg(F.bool_or(F.col("src") == F.col("dst")).alias("recursive"))
 
 
 @query("opt10", "SELECT p_partkey AS file_id, unnest(['main.f_' || p_partkey, 'main.g_' || p_partkey]) AS func FROM part")
