@@ -98,6 +98,10 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
     merged = calls.filter(F.col("qualname").isin("dict.update", "object.__setattr__") & (F.size("args") >= 1))
     merged = merged.withColumn("_s", F.when(_arg(0, "outside") == "given", "HIGH").when(_arg(0, "kind") == "Name", "MEDIUM")).filter("_s is not null")
     replaced = nodes.filter((F.col("kind") == "Assign") & (F.col("value") == "__dict__") & _arg(0, "kind").isin("Name", "Dict", "Call") & F.col("value_kind").isNull())
+    # Whether a name space is handed to an update method, and whether that also gets input from outside first.
+    updates = nodes.filter("kind = 'Attribute' and field = 'func' and name = 'update'").select("file_id", F.col("parent_id").alias("_u")).join(calls.select("file_id", F.col("node_id").alias("_u"), _arg(0, "outside").alias("_first")), ["file_id", "_u"])
+    spaces = calls.filter(F.col("qualname").isin("vars", "globals", "locals")).withColumn("_u", F.when(F.col("field") == "args", F.col("parent_id"))).join(updates.withColumn("_in", F.lit(True)), ["file_id", "_u"], "left")
+    spaces = spaces.withColumn("_s", F.when(F.col("_first") == "given", "HIGH").when(F.col("_in"), "MEDIUM").otherwise("LOW"))
     parts = [
         _issue(calls.filter("qualname = 'exec'"), "B102", "MEDIUM", "HIGH", 78),
         _issue(strings.filter(F.exists("context", credential_name)), "B105", "LOW", "MEDIUM", 259, F.col("value")),
@@ -112,7 +116,7 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
         _issue(attribute, F.when(F.col("qualname") == "setattr", "B701").otherwise("B705"), "HIGH", F.col("_s"), 20),
         _issue(merged, "B702", "HIGH", F.col("_s"), 20),
         _issue(replaced, "B704", "HIGH", F.when(_arg(0, "outside") == "given", "HIGH").otherwise("MEDIUM"), 20, F.col("value")),
-        _issue(calls.filter(F.col("qualname").isin("vars", "globals", "locals")), "B706", "HIGH", "LOW", 20),
+        _issue(spaces, "B706", "HIGH", F.col("_s"), 20),
         *(f(nodes) for f in extra or []),
     ]
     out = parts[0]

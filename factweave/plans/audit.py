@@ -54,6 +54,7 @@ def _cases() -> list[tuple[str, list[tuple]]]:
         ("if allowed == m:\n    o.__dict__ = m\n", []), ("if s.verify(m):\n    o.__dict__ = m\n", []), ("if m:\n    o.__dict__ = m\n", [unsafe("B704", 2, "MEDIUM")]),
         ("getattr(o, '__globals__')\n", [unsafe("B705", 1, "HIGH")]), ("getattr(o, query_name)\n", [unsafe("B705", 1, "HIGH")]), ("getattr(o, n)\n", [unsafe("B705", 1, "LOW")]), ("getattr(o, 'value')\ngetattr(o)\n", []),
         ("vars(o)\nglobals()\n", [unsafe("B706", 1, "LOW"), unsafe("B706", 2, "LOW")]), ("locals().update(data)\n", [unsafe("B706", 1, "LOW")]),
+        ("d.update(vars(o))\nf().update(1, globals())\nupdate(vars(o))\nd.update(k=vars(o))\n", [unsafe("B706", 1, "MEDIUM"), unsafe("B706", 2, "MEDIUM"), unsafe("B706", 3, "LOW"), unsafe("B706", 4, "LOW")]), ("d.update(data, vars(o))\n", [unsafe("B706", 1, "HIGH")]),
         ("exec(a)  # nosec\n", []), ("exec(a)  # nosec: B102\n", []), ("exec(a)  # nosec: B301\n", [ran(1)]), ("exec(a)  # nosec: exec_used\n", [ran(1)]), ("exec(a)  # nosec B301 B102\n", []), ("exec(a)  # nosec B102,B301\n", [ran(1)]),
         ("exec(  # first\n    a)  # nosec\n", [ran(1)]), ("exec(\n    a)  # nosec\n", []), ("# nosec\nexec(a)\n", [ran(2)]), ("exec(a\n", []),
     ]
