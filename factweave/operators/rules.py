@@ -60,6 +60,13 @@ def _issue(rows: DataFrame, test: str, severity, confidence, cwe, text: Column |
     return rows.select("file_id", "node_id", "lineno", "end_lineno", "col", F.lit(test).alias("test_id") if isinstance(test, str) else test.alias("test_id"), as_col(severity).alias("severity"), as_col(confidence).alias("confidence"), as_col(cwe).cast("int").alias("cwe"), (text if text is not None else F.col("qualname")).alias("ident"))
 
 
+def _told(where: Column, test, severity, confidence, cwe: int, text: Column | None = None) -> Column:
+    """An issue of a node where a condition holds, else null."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    found = F.struct(as_col(test).alias("test_id"), as_col(severity).alias("severity"), as_col(confidence).alias("confidence"), F.lit(cwe).alias("cwe"), (text if text is not None else F.col("qualname")).alias("ident"))
+    return F.when(where, found)
+
+
 def _arg(k: int, field: str) -> Column:
     return F.get(F.col("args"), k)[field]
 
@@ -77,45 +84,47 @@ def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
     """
     spark = nodes.sparkSession
     calls = nodes.filter("kind = 'Call'")
-    strings = nodes.filter("kind = 'Constant' and value_kind = 'str'")
     names = F.broadcast(blacklist(spark))  # a row for each fixed name
     hit = calls.join(names.filter("node_kind = 'Call'"), F.col("qualname") == F.col("ref"))
     first = hit.withColumn("_k", F.row_number().over(Window.partitionBy("file_id", "node_id").orderBy("seq"))).filter("_k = 1")
     under = nodes.filter("kind = 'alias'").join(nodes.filter("kind = 'Import'").select("file_id", F.col("node_id").alias("parent_id")), ["file_id", "parent_id"])
     brought = under.select("file_id", "node_id", "lineno", "end_lineno", "col", "name").unionByName(nodes.filter("kind = 'ImportFrom' and name is not null").select("file_id", "node_id", "lineno", "end_lineno", "col", "name"))
     imported = brought.join(names.filter("node_kind = 'Import'"), F.col("name") == F.col("ref")).withColumn("qualname", F.col("name"))
-    shell = calls.filter((F.col("qualname") == "subprocess.Popen") & (F.element_at("kw", F.lit("shell")) == "bool:True"))
-    keyed = calls.filter(F.col("qualname").isin("Crypto.Cipher.AES.new", "AES.new") & F.element_at("kw", F.lit("key_size")).startswith("int:") & (F.substring(F.element_at("kw", F.lit("key_size")), 5, 20).cast("int") < 128))
-    funcarg = calls.withColumn("_p", F.filter(F.map_entries("kw"), lambda e: e["value"].startswith("str:") & credential_name(e["key"]))).filter("size(_p) > 0")
-    default = nodes.filter("kind = 'FunctionDef'").withColumn("_p", F.filter("args", lambda a: (a["kind"] == "str") & credential_name(a["name"]))).filter("size(_p) > 0")
-    attribute = calls.filter(F.col("qualname").isin("setattr", "getattr") & (F.size("args") >= 2))
+    call, kw = F.col("kind") == "Call", lambda k: F.element_at("kw", F.lit(k))
+    named = lambda *names: call & F.col("qualname").isin(*names)
+    secret = F.filter(F.map_entries("kw"), lambda e: e["value"].startswith("str:") & credential_name(e["key"]))
+    default = F.filter("args", lambda x: (x["kind"] == "str") & credential_name(x["name"]))
     called = F.coalesce(F.when(_arg(1, "kind") == "str", _arg(1, "value")), F.when(_arg(1, "kind") == "Name", _arg(1, "name")), F.lit(""))  # a bare name counts by its own name
     level = (
         F.when(called.isin(*SAFE), None).when(called.isin(*DANGEROUS), "HIGH").when(_arg(1, "outside").isNotNull(), "HIGH")
         .when(_arg(1, "kind") == "Name", F.when(F.col("qualname") == "setattr", "MEDIUM").otherwise("LOW"))
     )
-    attribute = attribute.withColumn("_s", level).filter("_s is not null")
-    merged = calls.filter(F.col("qualname").isin("dict.update", "object.__setattr__") & (F.size("args") >= 1))
-    merged = merged.withColumn("_s", F.when(_arg(0, "outside") == "given", "HIGH").when(_arg(0, "kind") == "Name", "MEDIUM")).filter("_s is not null")
-    replaced = nodes.filter((F.col("kind") == "Assign") & (F.col("value") == "__dict__") & _arg(0, "kind").isin("Name", "Dict", "Call") & F.col("value_kind").isNull())
+    merge = F.when(_arg(0, "outside") == "given", "HIGH").when(_arg(0, "kind") == "Name", "MEDIUM")
+    short = kw("key_size").startswith("int:") & (F.substring(kw("key_size"), 5, 20).try_cast("int") < 128)
+    replaced = (F.col("kind") == "Assign") & (F.col("value") == "__dict__") & _arg(0, "kind").isin("Name", "Dict", "Call") & F.col("value_kind").isNull()
+    # What a node's own row tells, in one pass over the nodes: the issues that apply, none for most.
+    own = [
+        _told(named("exec"), "B102", "MEDIUM", "HIGH", 78),
+        _told((F.col("kind") == "Constant") & (F.col("value_kind") == "str") & F.exists("context", credential_name), "B105", "LOW", "MEDIUM", 259, F.col("value")),
+        _told(call & (F.size(secret) > 0), "B106", "LOW", "MEDIUM", 259, F.substring(F.get(secret, 0)["value"], 5, 1000)),
+        _told((F.col("kind") == "FunctionDef") & (F.size(default) > 0), "B107", "LOW", "MEDIUM", 259, F.get(default, 0)["value"]),
+        _told(named("Crypto.Cipher.AES.new", "AES.new") & short, "B303", "MEDIUM", "HIGH", 327),
+        _told(named("hashlib.md5", "hashlib.sha1"), "B304", "MEDIUM", "HIGH", 327),
+        _told(named("subprocess.Popen") & (kw("shell") == "bool:True"), "B602", "HIGH", "HIGH", 78),
+        _told(named("os.system", "os.popen", "commands.getstatusoutput"), "B604", "HIGH", "HIGH", 78),
+        _told(named("setattr", "getattr") & (F.size("args") >= 2) & level.isNotNull(), F.when(F.col("qualname") == "setattr", "B701").otherwise("B705"), "HIGH", level, 20),
+        _told(named("dict.update", "object.__setattr__") & (F.size("args") >= 1) & merge.isNotNull(), "B702", "HIGH", merge, 20),
+        _told(replaced, "B704", "HIGH", F.when(_arg(0, "outside") == "given", "HIGH").otherwise("MEDIUM"), 20, F.col("value")),
+    ]
+    local = nodes.select("file_id", "node_id", "lineno", "end_lineno", "col", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("i")).select("file_id", "node_id", "lineno", "end_lineno", "col", "i.*")
     # Whether a name space is handed to an update method, and whether that also gets input from outside first.
     updates = nodes.filter("kind = 'Attribute' and field = 'func' and name = 'update'").select("file_id", F.col("parent_id").alias("_u")).join(calls.select("file_id", F.col("node_id").alias("_u"), _arg(0, "outside").alias("_first")), ["file_id", "_u"])
     spaces = calls.filter(F.col("qualname").isin("vars", "globals", "locals")).withColumn("_u", F.when(F.col("field") == "args", F.col("parent_id"))).join(updates.withColumn("_in", F.lit(True)), ["file_id", "_u"], "left")
     spaces = spaces.withColumn("_s", F.when(F.col("_first") == "given", "HIGH").when(F.col("_in"), "MEDIUM").otherwise("LOW"))
     parts = [
-        _issue(calls.filter("qualname = 'exec'"), "B102", "MEDIUM", "HIGH", 78),
-        _issue(strings.filter(F.exists("context", credential_name)), "B105", "LOW", "MEDIUM", 259, F.col("value")),
-        _issue(funcarg, "B106", "LOW", "MEDIUM", 259, F.substring(F.col("_p")[0]["value"], 5, 1000)),
-        _issue(default, "B107", "LOW", "MEDIUM", 259, F.col("_p")[0]["value"]),
+        local,
         _issue(first, F.col("test_id"), F.col("severity"), "HIGH", F.col("cwe")),
         _issue(imported, F.col("test_id"), F.col("severity"), "HIGH", F.col("cwe")),
-        _issue(keyed, "B303", "MEDIUM", "HIGH", 327),
-        _issue(calls.filter(F.col("qualname").isin("hashlib.md5", "hashlib.sha1")), "B304", "MEDIUM", "HIGH", 327),
-        _issue(shell, "B602", "HIGH", "HIGH", 78),
-        _issue(calls.filter(F.col("qualname").isin("os.system", "os.popen", "commands.getstatusoutput")), "B604", "HIGH", "HIGH", 78),
-        _issue(attribute, F.when(F.col("qualname") == "setattr", "B701").otherwise("B705"), "HIGH", F.col("_s"), 20),
-        _issue(merged, "B702", "HIGH", F.col("_s"), 20),
-        _issue(replaced, "B704", "HIGH", F.when(_arg(0, "outside") == "given", "HIGH").otherwise("MEDIUM"), 20, F.col("value")),
         _issue(spaces, "B706", "HIGH", F.col("_s"), 20),
         *(f(nodes) for f in extra or []),
     ]

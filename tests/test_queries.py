@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = "win01 win04 win07 win08 agg02 agg04 agg08 agg11 agg23 flt03 flt14 joi08 set02 scl01 scl05 scl15 scl27 snk07 opt05 cnd02 cnd04 shp05 ipa09 gra01 gra23 lif06 str04 src05 cgr01 snk03 flw01 flw11 cdg01 b301 udx05 audit_all joi07_ids flw04 flw07 flw08 opt02 opt03 opt04_backward gra29".split()
+CHOSEN = "win01 win04 win07 win08 agg02 agg04 agg08 agg11 agg23 flt03 flt14 joi08 set02 scl01 scl05 scl15 scl27 snk07 opt05 cnd02 cnd04 shp05 ipa09 gra01 gra23 lif06 str04 src05 cgr01 snk03 flw01 flw11 cdg01 b301 udx05 audit_all joi07_ids flw04 flw07 flw08 opt02 opt03 opt04_backward gra29 shp04 shp06 shp08 dfi05 gra22 opt08 pts07 src13 str05 gra06 lif04 ipa02 b706 udx03".split()
 
 
 @pytest.fixture(scope="module")
