@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 from . import graph
+from .fixpoint import fixpoint
 
 
 def predicates(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -30,3 +31,15 @@ def answered(loads: DataFrame, stores: DataFrame, over: DataFrame) -> DataFrame:
         if new.join(first, ["graph", "dst", "src"], "left_anti").isEmpty():
             return first
         first = new
+
+
+def constants(edges: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(node, value): what a variable surely is where a node of edges (src, dst) begins.
+
+    assigned (node, value) says which nodes set it; all others pass on what comes. Values meet where paths meet: two
+    different ones are none. A way on which nothing is assigned says nothing.
+    """
+    passing = edges.join(assigned.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
+    seed = edges.join(assigned.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "value")
+    came = fixpoint(seed, lambda d, _: d.join(passing, d["node"] == passing["src"]).select(F.col("dst").alias("node"), "value"))[0]
+    return came.groupBy("node").agg(F.min("value").alias("value"), F.max("value").alias("most")).filter("value = most").drop("most")

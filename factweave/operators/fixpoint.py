@@ -17,19 +17,28 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     """
     keys = keys or seed.columns
     every = delta = written(seed.dropDuplicates(keys))
-    parts, rounds = [every], 0
+    parts, rounds = [[every]], 0  # by how often their rows have been written again
     while not delta.isEmpty():
         if limit is not None and rounds >= limit:
             return every, rounds, False
         rounds += 1
         delta = written(step(delta, every).select(seed.columns).dropDuplicates(keys).join(every.select(keys), keys, "left_anti"))
-        parts.append(delta)
-        if len(parts) > 8:  # few files to read again, at a cost that stays in proportion
-            parts = [written(_all(parts))]
-        every = _all(parts)
+        _add(parts, 0, delta)
+        every = _all([p for level in parts for p in level])
     return every, rounds, True
 
 
+def _add(parts: list[list[DataFrame]], level: int, new: DataFrame) -> None:
+    """Keep a part. Eight of one level become one of the next, so that over r rounds each row is written again log8(r) times at most."""
+    if level == len(parts):
+        parts.append([])
+    parts[level].append(new)
+    if len(parts[level]) > 8:
+        whole = written(_all(parts[level]))
+        parts[level] = []
+        _add(parts, level + 1, whole)
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

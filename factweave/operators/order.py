@@ -81,3 +81,9 @@ def rank_at_least(value: Column, least: str) -> Column:
     """Whether a rank is at least another, UNDEFINED < LOW < MEDIUM < HIGH."""
     ranks = F.array(*map(F.lit, ("UNDEFINED", "LOW", "MEDIUM", "HIGH")))
     return F.array_position(ranks, value) >= F.array_position(ranks, F.lit(least))
+
+
+def overwritten(ops: DataFrame) -> DataFrame:
+    """(op, slot) of operations (op, ts, slot, mode): writes that the next operation on their slot overwrites before any read."""
+    following = F.lead("mode").over(Window.partitionBy("slot").orderBy("ts", "op"))
+    return ops.withColumn("next", following).filter("mode = 'write' and next = 'write'").select("op", "slot")

@@ -80,6 +80,18 @@ def copied(spark, sf_dir):
     return pointsto.flow(own, copy).groupBy("slot").agg(F.count("*").alias("objects"))
 
 
+@query("ipa14", f"""{_COPY}, seed AS (SELECT 'n' || id AS slot, 1 AS flag FROM node WHERE bottom UNION ALL SELECT 'n' || id, 2 FROM node WHERE top UNION ALL SELECT 'n' || id, 4 FROM node WHERE region = 0),
+f AS (SELECT DISTINCT p.obj AS outside, q.obj AS inside FROM flow s JOIN pts p ON p.slot = 'n' || s.src JOIN pts q ON q.slot = 'n' || s.dst WHERE s.kind = '3-MEDIUM'),
+e(obj, flag) AS (SELECT obj, flag FROM pts JOIN seed ON pts.slot = seed.slot UNION SELECT f.inside, e.flag FROM e JOIN f ON f.outside = e.obj)
+SELECT obj, bit_or(flag) AS flags FROM e GROUP BY obj""")
+def escapes(spark, sf_dir):
+    """Which objects leave their program: 1 through its last slot, 2 through its first, 4 through finished lines; what their fields hold goes along."""
+    own, copy, _, store = _program(spark, sf_dir)
+    every, pts = nodes(spark, sf_dir).withColumn("slot", _text("id")), written(pointsto.flow(own, copy))
+    held = store.join(pts.select(F.col("slot").alias("base"), "obj"), "base").join(pts.select(F.col("slot").alias("src"), F.col("obj").alias("inner")), "src").select("obj", "inner").distinct()
+    return pointsto.escape(pts, written(held), every.filter("bottom").select("slot"), every.filter("top").select("slot"), every.filter("region = 0").select("slot"))
+
+
 @query("ipa05", f"WITH {FLOW} SELECT 'n' || dst AS slot, 'o' || src AS obj, 'DN' AS qualifier FROM flow WHERE kind = '4-NOT SPECIFIED'")
 def downward(spark, sf_dir):
     """Objects handed to callees take the qualifier of what comes from above."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lattice, order
+from ..operators import dataflow, lattice, order
+from ..shared import written
 from .base import FLOW, OPERATIONS, flow, in_order, operations, query, table, tree  # noqa: F401
 
 _RAW = """SELECT src, op AS dst, CASE WHEN mode = 'read' THEN 'RAW' ELSE 'WAW' END AS kind FROM (
@@ -365,23 +366,19 @@ def type_split(spark, sf_dir):
     return lattice.widened(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "node"), "node", "l_suppkey")
 
 
-@query("ipa14", "SELECT o_custkey AS k, bit_or(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 4 END) AS flags FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
-def escapes(spark, sf_dir):
-    """Flags of what an object's fields (orders) hold, passed up to it."""
-    f = F.when(F.col("e") == "R", 1).when(F.col("e") == "A", 2).otherwise(4)
-    return lattice.escape_flags(_customer_flags(spark, sf_dir).withColumn("f", f), "k", "f")
-
-
-@query("opt06", "SELECT l_orderkey, l_linenumber FROM lineitem w WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = w.l_partkey AND r.l_returnflag = 'N')")
+@query("opt06", f"WITH {OPERATIONS}, n AS (SELECT *, lead(mode) OVER (PARTITION BY slot ORDER BY ts, op) AS next FROM ops) SELECT op, slot FROM n WHERE mode = 'write' AND next = 'write'")
 def dead_stores(spark, sf_dir):
-    """Writes (returned lines) of slots (parts) that nothing reads (lines not returned)."""
-    l = table(spark, sf_dir, "lineitem")
-    return l.filter("l_returnflag = 'R'").join(l.filter("l_returnflag = 'N'").select("l_partkey"), "l_partkey", "left_anti").select("l_orderkey", "l_linenumber")
+    """Writes of slots (users) that the next operation on the slot overwrites unread; a slot's last write may be read later."""
+    return order.overwritten(operations(spark, sf_dir))
 
 
-@query("opt01", "SELECT l_partkey AS var, CASE WHEN count(DISTINCT l_tax) = 1 THEN max(l_tax) END AS const FROM lineitem GROUP BY ALL")
-def constant_meet(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("var")).agg(F.when(F.count_distinct("l_tax") == 1, F.max("l_tax")).alias("const"))
+@query("opt01", f"""WITH RECURSIVE {FLOW}, own AS (SELECT DISTINCT src, weight FROM flow WHERE kind < '3'),
+came(node, value) AS (SELECT f.dst, own.weight FROM own JOIN flow f ON f.src = own.src UNION SELECT f.dst, c.value FROM came c JOIN flow f ON f.src = c.node WHERE f.kind >= '3')
+SELECT node, min(value) AS value FROM came GROUP BY node HAVING count(DISTINCT value) = 1""")
+def constants(spark, sf_dir):
+    """Where a variable has one value only: lines of flag N assign their quantity, others pass on what comes, loops included."""
+    f = written(flow(spark, sf_dir))
+    return dataflow.constants(f.select("src", "dst").distinct(), f.filter("kind < '3'").select(F.col("src").alias("node"), F.col("weight").alias("value")).distinct())
 
 
 @query("opt14", "SELECT e.event_id, coalesce(r.new, e.event_type) AS node FROM events e LEFT JOIN (VALUES ('view', 'read'), ('click', 'read'), ('purchase', 'write')) r(old, new) ON e.event_type = r.old")

@@ -130,3 +130,19 @@ def test_deferred_switches(spark):
     once = {("d", "a"), ("g", "a"), ("g", "b"), ("i", "n1"), ("j", "s1")}
     assert run([("x", "y")]) == once  # behind the dead branch nothing appears
     assert run([("t", "c")]) == once | {("c", "b"), ("d", "b"), ("e", "b")}  # the condition turns: both branches, and the one behind
+
+
+def test_constants(spark):
+    """Against all paths of random graphs, up to a length that covers every pair of nodes."""
+    for g, edges in random_graphs(7, graphs=6, n=6).items():
+        assigned = {n: v for n, v in ((0, 1), (2, 1), (4, 2)) if n != g}
+        came = {n: set() for n in range(6)}
+        state = {(n, None) for n in range(6)}  # (node, value at its beginning)
+        for _ in range(40):
+            state |= {(d, assigned.get(n, v)) for n, v in state for s, d in edges if s == n}
+        for n, v in state:
+            if v is not None:
+                came[n].add(v)
+        want = {n: min(v) for n, v in came.items() if len(v) == 1}
+        got = dataflow.constants(spark.createDataFrame(list(edges), "src int, dst int"), spark.createDataFrame(list(assigned.items()), "node int, value int"))
+        assert {r.node: r.value for r in got.collect()} == want
