@@ -120,7 +120,7 @@ def maximal(code: np.ndarray, begins: np.ndarray, order: np.ndarray, first: np.n
 
 def repetition(docs: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each document of word numbers: words under the union of maximal repeats of ``least`` words or more, the longest
-    repeat of three words or more, and words in three-word windows that occur twice or more."""
+    repeat, and words in three-word windows that occur twice or more."""
     size = np.array([len(d) for d in docs], dtype=np.int64)
     n = int(size.sum())
     out = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
@@ -129,12 +129,15 @@ def repetition(docs: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarr
     code = np.concatenate(docs)
     doc = np.repeat(np.arange(len(docs)), size)
     end = np.repeat(np.cumsum(size), size)
-    code = doc * (int(code.max()) + 1) + code
+    spread = int(code.max()) + 1
+    code = doc * spread + code
     order, shared = suffix_order(code, end)
     lcp = common_prefix(code, order, shared)
     begins = np.zeros(n, bool)
     begins[(np.cumsum(size) - size)[size > 0]] = True
-    length, first, last = intervals(lcp, 3)
+    word, times = np.unique(code, return_counts=True)
+    out[1][word[times > 1] // spread] = 1
+    length, first, last = intervals(lcp, 2)
     kept = maximal(code, begins, order, first, last)
     np.maximum.at(out[1], doc[order[first[kept]]], length[kept])
     inner = np.maximum(lcp, np.append(lcp[1:], 0))  # of each place in the suffix array, its innermost interval

@@ -49,7 +49,7 @@ def _brute(d, least):
             rep[i] = max(rep[i], size)
     covered = lambda m, span: len({p for i in range(n) if rep[i] >= m for p in range(i, i + span(rep[i]))})
     most = max(rep, default=0)
-    return covered(least, lambda r: r), most if most >= 3 else 0, covered(3, lambda r: 3)
+    return covered(least, lambda r: r), most, covered(3, lambda r: 3)
 
 
 def _maximal(d):
