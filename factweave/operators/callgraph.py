@@ -13,9 +13,9 @@ def call_graph(nodes: DataFrame) -> DataFrame:
     Callees are the qualified names of the functions with that name.
     """
     defined = nodes.filter("kind in ('FunctionDef', 'AsyncFunctionDef')").select("file_id", "name", F.col("qualname").alias("callee"))
-    calls = nodes.filter("kind = 'Call' and name is not null").select("file_id", "name", "scope")
+    plain = nodes.filter("kind = 'Name' and field = 'func'").select("file_id", "name", "scope")  # not of attributes
     parts = F.split("scope", r"\.")
-    enclosing = calls.withColumn("caller", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).otherwise(F.array(F.lit("main")))))
+    enclosing = plain.withColumn("caller", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).otherwise(F.array(F.lit("main")))))
     return enclosing.join(defined, ["file_id", "name"]).select("file_id", "caller", "callee").distinct()
 
 

@@ -158,3 +158,11 @@ def test_long_chain_keeps_few_parts(spark, monkeypatch):
     rows, rounds, converged = module.fixpoint(spark.createDataFrame([(0,)], "node long"), lambda d, _: d.join(e, d["node"] == e["src"]).select(e["dst"].alias("node")))
     assert converged and rounds == n + 1 and sorted(r.node for r in rows.collect()) == list(range(n + 1))
     assert len(again) <= n + 2 + n // 9 + n // 81 + 1 and len(rows.inputFiles()) < 40
+
+
+def test_call_graph_leaves_out_attributes(spark):
+    from factweave.operators import callgraph
+
+    text = "class A:\n    def go(self):\n        pass\ndef run(a):\n    a.go()\n    def inner():\n        help()\ndef help():\n    pass\nrun(A())\n"
+    nodes = python.parse(spark.createDataFrame([(1, text)], "file_id long, text string"))
+    assert {tuple(r) for r in callgraph.call_graph(nodes).collect()} == {(1, "main", "main.run"), (1, "main.run", "main.help"), (1, "main.run.inner", "main.help")}
