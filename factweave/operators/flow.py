@@ -367,11 +367,34 @@ def loops(files: DataFrame) -> DataFrame:
     return per_function(files, natural_loops, {"head": _I, "block": _I})
 
 
+def overwritten(f: Flow, block: int) -> set[str]:
+    """Variables that a block's plain assignment sets and a later one sets again before any read; none where an error may leave the block in between."""
+    if any(a == block and label == "error" for a, _, label in f.edges):
+        return set()
+    out, pending = set(), set()
+    for text in f.code.get(block, ()):
+        try:
+            (statement,) = ast.parse(text).body
+        except (SyntaxError, ValueError):
+            pending.clear()
+            continue
+        names = [n for n in ast.walk(statement) if isinstance(n, ast.Name)]
+        pending -= {n.id for n in names if not isinstance(n.ctx, ast.Store)}
+        if isinstance(statement, ast.AugAssign):
+            pending -= {n.id for n in names}
+        elif isinstance(statement, ast.Assign) and all(isinstance(t, ast.Name) for t in statement.targets):
+            stored = {t.id for t in statement.targets}
+            out |= stored & pending
+            pending |= stored
+    return out
+
+
 def liveness(files: DataFrame) -> DataFrame:
     """(file_id, func, block, var): definitions that no later use needs; their plain assignments are dead."""
 
     def dead(f: Flow):
         used = {(d, v) for d, _, v in reaching(f)}
-        return [(n, v) for n, vs in f.defs.items() if n in f.kind and n > 1 for v in dict.fromkeys(vs) if (n, v) not in used and v not in f.uses.get(n, ())]
+        last = {(n, v) for n, vs in f.defs.items() if n in f.kind and n > 1 for v in vs if (n, v) not in used and v not in f.uses.get(n, ())}
+        return sorted(last | {(n, v) for n in f.kind for v in overwritten(f, n)})
 
     return per_function(files, dead, {"block": _I, "var": _S})

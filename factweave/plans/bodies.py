@@ -97,7 +97,7 @@ _LOOPS = {
 #: Definitions that nothing needs.
 _DEAD = {
     "loop": [(10, 'a')],
-    "dead": [],
+    "dead": [(2, 'x')],  # x = 1 before x = 2
     "guard": [],
     "each": [],
     "nest": [],

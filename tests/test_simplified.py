@@ -23,3 +23,18 @@ def test_simplified(text, want):
     got = simplified(text)
     assert got == want
     ast.parse(got)
+
+
+def test_overwritten_in_a_block(spark):
+    from factweave.operators import flow
+
+    cases = {
+        1: ("def f(a):\n    x = 1\n    x = 2\n    return x\n", {"x"}),
+        2: ("def f(a):\n    x = 1\n    y = x\n    x = 2\n    return x, y\n", set()),
+        3: ("def f(a):\n    x = 1\n    x += 2\n    x = 3\n    return x\n", set()),
+        4: ("def f(a):\n    try:\n        x = 1\n        a()\n        x = 2\n    except E:\n        return x\n", set()),
+        5: ("def f(a):\n    x = 1\n    if a:\n        x = 2\n    return x\n", set()),
+        6: ("def f(a):\n    x = y = 1\n    x = lambda: y\n    y = 2\n    return x\n", {"x"}),
+    }
+    rows = flow.liveness(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "file_id long, text string")).collect()
+    assert {k: {r["var"] for r in rows if r.file_id == k} for k in cases} == {k: want for k, (_, want) in cases.items()}
