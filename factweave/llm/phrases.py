@@ -45,7 +45,16 @@ _SUFFIXES = pa.schema([("lang", pa.string()), ("salt", pa.int32()), *((f"w{k}",
 _PARTS = pa.schema([("lang", pa.string()), ("salt", pa.int32()), ("words", pa.list_(pa.binary())), ("n", pa.int64())])
 
 
-def tokens(text: bytes, segment: int = SEGMENT) -> Iterator[tuple[list[bytes], int]]:
+def _split(text: bytes) -> pa.Array:
+    """Words and full stops of a folded text, without an object for each."""
+    letters = np.frombuffer(text, np.uint8)
+    keep, stop = letters != 32, letters == 46
+    begins = np.flatnonzero(keep & (stop | np.concatenate(([True], ~keep[:-1] | stop[:-1])))) if len(letters) else np.zeros(0, np.int64)
+    offsets = np.append(np.cumsum(keep)[begins] - 1, np.count_nonzero(keep)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(letters[keep])])
+
+
+def tokens(text: bytes, segment: int = SEGMENT) -> Iterator[tuple[pa.Array, int]]:
     """(tokens, own): words and full stops between pieces, in segments; those from ``own`` on belong to the next segment."""
     text = text.translate(_FOLD)
     at = 0
@@ -54,40 +63,47 @@ def tokens(text: bytes, segment: int = SEGMENT) -> Iterator[tuple[list[bytes], i
         if to < len(text):  # not inside a word
             stops = [x for x in (text.find(b" ", to), text.find(b".", to)) if x >= 0]
             to = min(stops, default=len(text))
-        own = text[at:to].replace(b".", b" . ").split()
+        own = _split(text[at:to])
         ahead = []
         for m in _NEXT.finditer(text, to):
             ahead.append(m[0])
             if m[0] == b"." or len(ahead) == LONGEST - 1:
                 break
-        yield own + ahead, len(own)
+        yield pa.concat_arrays([own, pa.array(ahead, pa.binary())]), len(own)
         at = to
 
 
 def _coded(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array]]:
-    """(lang, codes, own, words) of each language of a batch, by segments; -1 stands between pieces, own marks starts."""
+    """(lang, codes, own, words) of each language of a batch: texts together up to a segment, longer ones by segments; -1 stands between pieces, own marks starts."""
     by_lang: dict[str, list[bytes]] = {}
     for lang, text in zip(*rows_of(batch, "lang", "text"), strict=True):
         by_lang.setdefault("und" if lang is None else lang, []).append((text or "").encode("utf-8", "surrogatepass"))
     for lang, texts in by_lang.items():
-        found, own, size = [], [], 0
+        held, size = [], 0
         for text in texts:
-            for part, n in tokens(text):
-                found += [*part, b"."]
-                own += [np.ones(n, bool), np.zeros(len(part) - n + 1, bool)]
-                size += len(part)
-                if size > SEGMENT // 4:
-                    yield lang, *_codes(found, own)
-                    found, own, size = [], [], 0
-        if found:
-            yield lang, *_codes(found, own)
-
-
-def _codes(found: list[bytes], own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    coded = pa.array(found, pa.binary()).dictionary_encode()
+            if len(text) > SEGMENT:
+                for part, n in tokens(text):
+                    yield lang, *_codes(part, np.arange(len(part)) < n)
+                continue
+            held.append(text)
+            size += len(text)
+            if size > SEGMENT:
+                yield lang, *_joined(held)
+                held, size = [], 0
+        if held:
+            yield lang, *_joined(held)
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    found = _split(b".".join(texts).translate(_FOLD))
+    return _codes(found, np.ones(len(found), bool))
+
+
+def _codes(found: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    coded = found.dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     stop = coded.dictionary.index(pa.scalar(b".", pa.binary())).as_py()
-    return np.where(codes == stop, -1, codes), np.concatenate(own), coded.dictionary
+    return np.where(codes == stop, -1, codes), own, coded.dictionary
 
 
 def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +121,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return said.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _place(lang: str, word: bytes) -> int:
-    return zlib.crc32(lang.encode() + b"\t" + word)
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """Spark's 64-bit hashes of words, crossed with their language's."""
+    own = np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)) ^ own
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -120,22 +138,21 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    h = h % (len(bits) * 32)
-    return bits[h >> 5] >> (h & 31).astype(np.uint32) & 1 > 0
+    h = h & h.dtype.type(len(bits) * 32 - 1)  # a power of two
+    return bits[(h >> h.dtype.type(5)).astype(np.int64)] >> (h & h.dtype.type(31)).astype(np.uint32) & 1 > 0
 
 
 def frequent(words: DataFrame, least: int) -> np.ndarray:
     """The bit table of words with ``least`` occurrences or more."""
-    named = F.concat(F.encode("lang", "UTF-8"), F.lit(b"\t"), F.col("word"))
-    return bit_table(words.filter(F.col("n") >= least).select(F.crc32(named).alias("h")))
+    h = F.xxhash64("word").bitwiseXOR(F.xxhash64(F.encode("lang", "UTF-8")))
+    return bit_table(words.filter(F.col("n") >= least).select(h.alias("h")))
 
 
 def _pairs(lang: str, codes: np.ndarray, names: pa.Array, often: np.ndarray, keep: int) -> np.ndarray:
     """A hash of ``keep`` bits for each word and the next; -1 unless both may be frequent."""
-    texts = names.to_pylist()
-    known = np.append(_has(often, np.fromiter((_place(lang, w) for w in texts), np.int64, len(texts))), False)
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    value = np.append(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in texts), np.uint64, len(texts)), np.uint64(0))
+    value = np.append(_hashes(lang, names.to_pylist()), np.uint64(0))
+    known = _has(often, value)
+    known[-1] = False
     word, ok = value[codes], known[codes]
     out = np.full(len(codes), -1)
     both = np.flatnonzero(ok[:-1] & ok[1:] & (codes[:-1] >= 0) & (codes[1:] >= 0))

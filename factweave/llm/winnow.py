@@ -73,9 +73,9 @@ def likeness(a: str, b: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with their prints (array of bigint) and fingerprint (string)."""
-    own = docs.withColumn("_parts", chunks(f"coalesce({text}, '')")).withColumn("prints", prints("_parts")).drop("_parts")
-    return own.withColumn("fingerprint", told("prints"))
+    """The rows with their prints (array of bigint) and fingerprint (string), which replace columns of these names."""
+    found = docs.withColumn("prints", chunks(f"coalesce({text}, '')")).withColumn("prints", prints("prints"))
+    return found.withColumn("fingerprint", told("prints"))
 
 
 def _ranges(docs: DataFrame, parts: int) -> tuple[list[tuple], list[tuple]]:

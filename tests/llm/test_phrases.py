@@ -44,8 +44,9 @@ def texts(seed, n=60):
     return out + [(None, "en"), (None, None), ("", "de"), ("...,,", "de"), ("the the the " * 3000, "en"), out[0], out[0], ("one", "zz")]
 
 
-@pytest.mark.parametrize(("least", "swallow", "top"), [(5, 80, 2000), (3, 60, 7), (1, 100, 50)])
-def test_equals_brute_force(spark, monkeypatch, least, swallow, top):
+@pytest.mark.parametrize(("least", "swallow", "top", "segment"), [(5, 80, 2000, 4 << 20), (3, 60, 7, 500), (1, 100, 50, 20)])
+def test_equals_brute_force(spark, monkeypatch, least, swallow, top, segment):
+    monkeypatch.setattr(phrases, "SEGMENT", segment)
     monkeypatch.setattr(phrases, "HOT", 6)  # several hot words
     rows = texts(least)
     frame = spark.createDataFrame([(k, t, lang, 1, "w", "x", 0.5, 2) for k, (t, lang) in enumerate(rows)], SCHEMA)
@@ -57,11 +58,11 @@ def test_segments_overlap(monkeypatch):
     rng = random.Random(4)
     for _ in range(300):
         text = "".join(rng.choice("ab .\t\n") for _ in range(rng.randrange(80))).encode()
-        whole = next(phrases.tokens(text), ([], 0))[0]
+        whole = [w for p, _ in phrases.tokens(text) for w in p.to_pylist()]
         for segment in (1, 3, 10):
-            parts = list(phrases.tokens(text, segment))
+            parts = [(p.to_pylist(), n) for p, n in phrases.tokens(text, segment)]
             assert [w for p, n in parts for w in p[:n]] == whole
-            want, at = [], 0
+            at = 0
             for p, n in parts:
                 want = whole[at : at + len(p)]
                 at += n
@@ -86,4 +87,4 @@ def test_empty(spark):
 
 def test_one_long_word_and_long_piece():
     (found, own) = next(phrases.tokens(b"x" * 9_000_000 + b" y", 4 << 20))
-    assert found == [b"x" * 9_000_000, b"y"] and own == 1
+    assert found.to_pylist() == [b"x" * 9_000_000, b"y"] and own == 1
