@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import flow, lowering
+from ..shared import spread
 from .base import query, table
 
 CASES = {'loop':'''def f(a, n):
@@ -234,7 +235,7 @@ def simplified(spark, sf_dir):
             rows = [(i, new.replace("\n", "|")) for i, t in zip(ids, texts, strict=True) if (new := lowering.simplified(t)) != t.strip()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _S)], names=["file_id", "text"])
 
-    return files(spark, sf_dir).mapInArrow(run, "file_id long, text string")
+    return spread(files(spark, sf_dir), "file_id").mapInArrow(run, "file_id long, text string")
 
 
 _ORDERED = "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey"

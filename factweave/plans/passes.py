@@ -74,12 +74,13 @@ class Engine:
 
 
 def standard(engine: Engine) -> Engine:
-    """The passes over source files (catalog ``files``)."""
+    """The passes over source files (catalog ``files``). Files are parsed once for all passes that follow."""
     from ..operators import callgraph, flow, rules
+    from ..shared import written
     from ..sources import python
 
     add = engine.register
-    add("nodes", lambda c: python.parse(c["files"]), kind="source")
+    add("nodes", lambda c: written(python.parse(c["files"])), kind="source")
     add("suppressions", lambda c: python.suppressions(c["files"]), kind="source")
     add("issues", lambda c: rules.suppressed(rules.run_rules(c["nodes"]), c["suppressions"])[0], ["nodes", "suppressions"])
     add("metrics", lambda c: rules.metrics(c["issues"]), ["issues"])

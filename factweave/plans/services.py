@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fuzz, rules
+from ..shared import written
 from ..streaming import runs
 from .base import query, table
 from .passes import Engine, standard
@@ -29,7 +30,7 @@ def custom_rule(spark, sf_dir):
     from ..sources import python
 
     own = lambda nodes: rules._issue(nodes.filter("kind = 'FunctionDef' and name like 'g\\\\_%'"), "X001", "LOW", "HIGH", 0)
-    return rules.run_rules(python.parse(files(spark, sf_dir)), [own]).filter("test_id = 'X001'").groupBy("file_id").agg(F.count("*").cast("int").alias("issues"))
+    return rules.run_rules(written(python.parse(files(spark, sf_dir))), [own]).filter("test_id = 'X001'").groupBy("file_id").agg(F.count("*").cast("int").alias("issues"))
 
 
 @query("udx09", "SELECT p_partkey AS file_id, 'block' AS family, 3 AS n FROM part")

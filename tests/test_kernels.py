@@ -166,3 +166,19 @@ def test_call_graph_leaves_out_attributes(spark):
     text = "class A:\n    def go(self):\n        pass\ndef run(a):\n    a.go()\n    def inner():\n        help()\ndef help():\n    pass\nrun(A())\n"
     nodes = python.parse(spark.createDataFrame([(1, text)], "file_id long, text string"))
     assert {tuple(r) for r in callgraph.call_graph(nodes).collect()} == {(1, "main", "main.run"), (1, "main.run", "main.help"), (1, "main.run.inner", "main.help")}
+
+
+def test_files_of_one_split_are_parsed_by_many_tasks(spark):
+    """What is parsed comes from one split of a small file; its work is dealt to several tasks, and nothing is lost."""
+    from pyspark.sql import functions as F
+
+    one = spark.range(1200, numPartitions=1).select(F.col("id").alias("file_id"), F.lit("def f(a):\n    return a  # nosec\n").alias("text"))
+    for found in (python.parse(one).filter("kind = 'FunctionDef'"), python.suppressions(one), flow.blocks(one).filter("kind = 'exit'")):
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 1200
+
+
+def test_comments_of_files_without_any(spark):
+    texts = [(1, None), (2, "x = 1\n"), (3, "x = '#'\n"), (4, "x = 1  # nosec B101\n# all\n")]
+    got = python.suppressions(spark.createDataFrame(texts, "file_id long, text string")).collect()
+    assert {(r.file_id, r.line, tuple(r.ids) if r.ids is not None else None) for r in got} == {(4, 1, ("B101",)), (4, 2, None)}
