@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def memory_dependences(ops: DataFrame, compat: bool = True) -> DataFrame:
     """(src, dst, kind) over ops (op, ts, slot, mode): the last write before each read (RAW) and each write (WAW).
@@ -55,7 +57,7 @@ def range_minimum(rows: DataFrame, key: str, at: str, value: str, queries: DataF
         part = ends.filter(F.col("k") == k).select(key, "i", F.min(value).over(Window.partitionBy(key).orderBy("i").rowsBetween(0, 0)).alias("least")) if k == 0 else seq.select(key, "i", F.min(value).over(Window.partitionBy(key).orderBy("i").rowsBetween(0, (1 << k) - 1)).alias("least"))
         part = part.withColumn("k", F.lit(k))
         blocks = part if blocks is None else blocks.unionByName(part)
-    q = queries.withColumn("_q", F.monotonically_increasing_id())
+    q = written(queries.withColumn("_q", F.monotonically_increasing_id()))  # both ends of a range must see one number
     rows_ = rows.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_q"), F.lit(False).alias("_high"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
     end = lambda c, high: q.select(F.col(key), F.col(c).alias("_at"), F.lit(0).alias("_one"), "_q", F.lit(high).alias("_high"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     before = F.sum("_one").over(Window.partitionBy(key).orderBy("_at", "_one").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # rows under an end, as ends come first

@@ -182,3 +182,16 @@ def test_comments_of_files_without_any(spark):
     texts = [(1, None), (2, "x = 1\n"), (3, "x = '#'\n"), (4, "x = 1  # nosec B101\n# all\n")]
     got = python.suppressions(spark.createDataFrame(texts, "file_id long, text string")).collect()
     assert {(r.file_id, r.line, tuple(r.ids) if r.ids is not None else None) for r in got} == {(4, 1, ("B101",)), (4, 2, None)}
+
+
+def test_range_minimum_of_ranges_in_any_order(spark):
+    """Ranges may come in another order each time they are read, as after a shuffle; both ends of a range still belong together."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, at, float(rng.randrange(1000))) for k in range(40) for at in range(9)]
+    asked = [(k, lo, lo + 1 + (k + lo) % 5) for k in range(40) for lo in range(5)]
+    shuffled = spark.createDataFrame(asked, "g long, lo long, hi long").coalesce(1).mapInPandas(lambda it: (f.iloc[np.random.default_rng().permutation(len(f))] for f in it), "g long, lo long, hi long")
+    got = order.range_minimum(spark.createDataFrame(rows, "g long, at long, v double"), "g", "at", "v", shuffled)
+    want = {(k, lo, hi, min(v for key, at, v in rows if key == k and lo <= at < hi)) for k, lo, hi in asked}
+    assert sorted(tuple(r) for r in got.select("g", "lo", "hi", "least").collect()) == sorted(want)
