@@ -195,3 +195,21 @@ def test_range_minimum_of_ranges_in_any_order(spark):
     got = order.range_minimum(spark.createDataFrame(rows, "g long, at long, v double"), "g", "at", "v", shuffled)
     want = {(k, lo, hi, min(v for key, at, v in rows if key == k and lo <= at < hi)) for k, lo, hi in asked}
     assert sorted(tuple(r) for r in got.select("g", "lo", "hi", "least").collect()) == sorted(want)
+
+
+def test_per_graph_takes_many_graphs_at_once(spark):
+    """Each key's graph gives its own rows, and a batch holds many keys, also ones whose edges give none."""
+    from factweave.operators import combinatorics
+
+    rng = random.Random(8)
+    edges = [(f"g{k}", rng.randrange(6), rng.randrange(6)) for k in range(300) for _ in range(rng.randrange(1, 9))]
+    frame = spark.createDataFrame(edges, "kind string, src long, dst long")
+    sizes = []
+
+    def cuts(graph):
+        sizes.append(len(graph))  # per process: many graphs meet in one call of the batch function
+        return [(n, len(sizes)) for n in sorted(combinatorics.cut_nodes(graph))]
+
+    got = combinatorics.per_graph(frame.coalesce(1), "kind", cuts, "kind string, node long, seen long").collect()
+    want = {(k, n) for k in {e[0] for e in edges} for n in combinatorics.cut_nodes(combinatorics.neighbours([(a, b) for kind, a, b in edges if kind == k]))}
+    assert {(r.kind, r.node) for r in got} == want and len(got) == len(want) and max(r.seen for r in got) > 10
