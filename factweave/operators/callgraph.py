@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What call graphs read of syntax nodes: kinds and columns.
+KINDS = ("FunctionDef", "AsyncFunctionDef", "Name", "Module")
+COLUMNS = ("file_id", "kind", "field", "name", "qualname", "scope")
+
+
 def call_graph(nodes: DataFrame) -> DataFrame:
     """(file_id, caller, callee): calls by plain name of functions defined in the same file.
 

@@ -77,6 +77,11 @@ def blacklist(spark) -> DataFrame:
     return spark.createDataFrame(rows, "node_kind string, ref string, seq int, test_id string, severity string, cwe int")
 
 
+#: What the rules read of syntax nodes: kinds and columns.
+KINDS = ("Call", "alias", "Import", "ImportFrom", "Constant", "FunctionDef", "Assign", "Attribute")
+COLUMNS = ("file_id", "node_id", "parent_id", "field", "kind", "lineno", "end_lineno", "col", "name", "value", "value_kind", "qualname", "args", "kw", "context")
+
+
 def run_rules(nodes: DataFrame, extra: list | None = None) -> DataFrame:
     """All issues (file_id, node_id, lineno, end_lineno, col, test_id, severity, confidence, cwe, ident) of ast_node rows.
 

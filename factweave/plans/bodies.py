@@ -5,6 +5,8 @@ What is expected of each function stands beside it: the output of the operators
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -230,9 +232,10 @@ def simplified(spark, sf_dir):
     """Sources that folding and dead stores change, one line of text with bars for line ends."""
 
     def run(it):
+        told = functools.lru_cache(flow.REMEMBERED)(lowering.simplified)  # equal sources are worked out once
         for batch in it:
             ids, texts = (batch.column(k).to_pylist() for k in range(2))
-            rows = [(i, new.replace("\n", "|")) for i, t in zip(ids, texts, strict=True) if (new := lowering.simplified(t)) != t.strip()]
+            rows = [(i, new.replace("\n", "|")) for i, t in zip(ids, texts, strict=True) if (new := told(t)) != t.strip()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _S)], names=["file_id", "text"])
 
     return spread(files(spark, sf_dir), "file_id").mapInArrow(run, "file_id long, text string")

@@ -110,7 +110,7 @@ def typed_view(spark, sf_dir):
 @query("flt09", "SELECT p_partkey AS file_id, 3 + CASE WHEN p_size < 10 THEN 1 ELSE 1 END AS calls, 2 AS functions FROM part")
 def projections(spark, sf_dir):
     """Operations and definitions of each file, split from its tree."""
-    n = nodes(spark, sf_dir).groupBy("file_id").agg(F.count_if(F.col("kind") == "Call").cast("int").alias("calls"), F.count_if(F.col("kind") == "FunctionDef").cast("int").alias("functions"))
+    n = nodes(spark, sf_dir, ("Module", "Call", "FunctionDef"), ("file_id", "kind")).groupBy("file_id").agg(F.count_if(F.col("kind") == "Call").cast("int").alias("calls"), F.count_if(F.col("kind") == "FunctionDef").cast("int").alias("functions"))
     return n
 
 
@@ -172,44 +172,44 @@ def deltas(spark, sf_dir):
 
 @query("irx01", "SELECT p_partkey AS file_id, 'Return' AS kind, 2 AS n FROM part UNION ALL SELECT p_partkey, 'arg', 2 FROM part UNION ALL SELECT p_partkey, 'Assign', 1 FROM part")
 def converted(spark, sf_dir):
-    return nodes(spark, sf_dir).filter(F.col("kind").isin("Return", "arg", "Assign")).groupBy("file_id", "kind").agg(F.count("*").cast("int").alias("n"))
+    return nodes(spark, sf_dir, ("Return", "arg", "Assign"), ("file_id", "kind")).groupBy("file_id", "kind").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("irx09", "SELECT p_partkey AS file_id, 'main.f_' || p_partkey AS definition, 'function' AS kind, 8 AS line FROM part")
 def definitions(spark, sf_dir):
-    return nodes(spark, sf_dir).filter("kind = 'FunctionDef' and name like 'f\\_%'").select("file_id", F.col("qualname").alias("definition"), F.lit("function").alias("kind"), F.col("lineno").alias("line"))
+    return nodes(spark, sf_dir, ("FunctionDef",), ("file_id", "name", "qualname", "lineno")).filter("name like 'f\\_%'").select("file_id", F.col("qualname").alias("definition"), F.lit("function").alias("kind"), F.col("lineno").alias("line"))
 
 
 @query("irx08", "SELECT p_partkey AS file_id, unnest(['main', 'main.f_' || p_partkey, 'main.g_' || p_partkey]) AS scope FROM part")
 def scopes(spark, sf_dir):
-    return nodes(spark, sf_dir).select("file_id", "scope").distinct()
+    return nodes(spark, sf_dir, None, ("file_id", "scope")).distinct()
 
 
 @query("irx10", "SELECT p_partkey AS file_id, unnest([0, 1, 2, 3, 4, 5]) AS idx FROM part")
 def statements(spark, sf_dir):
     """Top-level statements in order."""
-    n = nodes(spark, sf_dir)
+    n = nodes(spark, sf_dir, None, ("file_id", "parent_id", "field", "idx"))
     return n.filter("parent_id = 0 and field = 'body'").select("file_id", "idx")
 
 
 @query("irx07", "SELECT p_partkey AS file_id, 'limit' AS name FROM part WHERE p_size >= 10")
 def collapsible(spark, sf_dir):
     """Locals with one definition and one use, which can stand where they are used."""
-    n = nodes(spark, sf_dir).filter("kind = 'Name'").groupBy("file_id", "scope", "name").agg(F.count_if(F.col("value") == "Store").alias("d"), F.count_if(F.col("value") == "Load").alias("u"))
+    n = nodes(spark, sf_dir, ("Name",), ("file_id", "scope", "name", "value")).groupBy("file_id", "scope", "name").agg(F.count_if(F.col("value") == "Store").alias("d"), F.count_if(F.col("value") == "Load").alias("u"))
     return n.filter("d = 1 and u = 1").select("file_id", "name")
 
 
 @query("irx04", "SELECT p_partkey AS file_id, CASE WHEN p_size % 2 = 0 THEN 'interpreter_getattribute' ELSE 'interpreter_call' END AS target FROM part")
 def lowered(spark, sf_dir):
     """Calls lowered to the interpreter's functions: through an attribute, or of a name with keywords."""
-    n = nodes(spark, sf_dir).filter("kind = 'Call' and qualname in ('pickle.loads', 'subprocess.Popen')")
+    n = nodes(spark, sf_dir, ("Call",), ("file_id", "qualname")).filter("qualname in ('pickle.loads', 'subprocess.Popen')")
     return n.select("file_id", F.when(F.col("qualname") == "pickle.loads", "interpreter_getattribute").otherwise("interpreter_call").alias("target"))
 
 
 @query("pts02", "SELECT p_partkey AS file_id, CASE WHEN p_size < 10 THEN 'token' ELSE 'limit' END AS slot, CASE WHEN p_size < 10 THEN p_brand ELSE '1' END AS obj FROM part")
 def extracted_constraints(spark, sf_dir):
     """Allocations of constants to module variables."""
-    n = written(nodes(spark, sf_dir))
+    n = written(nodes(spark, sf_dir, ("Name", "Constant"), ("file_id", "parent_id", "field", "kind", "name", "value", "scope")))
     target = n.filter("kind = 'Name' and value = 'Store' and scope = 'main'").select("file_id", "parent_id", F.col("name").alias("slot"))
     value = n.filter("kind = 'Constant' and field = 'value'").select("file_id", "parent_id", F.col("value").alias("obj"))
     return target.join(value, ["file_id", "parent_id"]).select("file_id", "slot", "obj")
@@ -268,10 +268,7 @@ def recursion_guard(spark, sf_dir):
 @query("opt10", "SELECT p_partkey AS file_id, unnest(['main.f_' || p_partkey, 'main.g_' || p_partkey]) AS func FROM part")
 def inlinable(spark, sf_dir):
     """Functions without a return inside a loop."""
-    f = files(spark, sf_dir)
-    inside = flow.loops(f).select("file_id", "func", F.col("block").alias("src"))
-    bad = flow.edges(f).filter("label = 'return'").join(inside, ["file_id", "func", "src"]).select("file_id", "func").distinct()
-    return flow.blocks(f).select("file_id", "func").distinct().join(bad, ["file_id", "func"], "left_anti")
+    return flow.inlinable(files(spark, sf_dir))
 
 
 @query("opt13", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'identity' WHEN l_tax = 0 THEN 'drop' ELSE 'keep' END AS rule FROM lineitem")
@@ -311,13 +308,12 @@ def discovered(spark, sf_dir):
 @query("src10", "SELECT p_partkey AS file_id, 'f_' || p_partkey AS call, 'limit' AS arg FROM part")
 def accessors(spark, sf_dir):
     """Dotted call names and arguments."""
-    n = nodes(spark, sf_dir).filter("kind = 'Call' and scope = 'main'")
+    n = nodes(spark, sf_dir, ("Call",), ("file_id", "qualname", "scope", "args")).filter("scope = 'main'")
     return n.select("file_id", F.col("qualname").alias("call"), F.get("args", F.lit(0))["name"].alias("arg"))
 
 
 @query("src12", "SELECT p_partkey AS file_id, 'main.f_' || p_partkey AS code, 0 AS position, 'a' AS name FROM part UNION ALL SELECT p_partkey, 'main.g_' || p_partkey, 0, 'b' FROM part")
 def entry_points(spark, sf_dir):
-    n = written(nodes(spark, sf_dir))
-    args = n.filter("kind = 'arg'").select("file_id", F.col("scope").alias("code"), F.col("idx").alias("position"), "name")
+    args = nodes(spark, sf_dir, ("arg",), ("file_id", "scope", "idx", "name")).select("file_id", F.col("scope").alias("code"), F.col("idx").alias("position"), "name")
     return args
 

@@ -24,8 +24,8 @@ def files(spark, sf_dir):
     return p.select("file_id", F.concat(F.lit("pkg/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("/m_"), "k", F.lit(".py")).alias("path"), text.alias("text"))
 
 
-def nodes(spark, sf_dir):
-    return python.parse(files(spark, sf_dir))
+def nodes(spark, sf_dir, kinds=None, columns=None):
+    return python.parse(files(spark, sf_dir), kinds, columns)
 
 
 _ISSUES = """SELECT p_partkey AS file_id, lineno, test_id, severity, confidence, cwe FROM (
@@ -44,7 +44,7 @@ def issues(spark, sf_dir):
 
 def judged(f):
     """(kept, suppressed) issues of files, each file parsed and its comments read once."""
-    return rules.suppressed(written(rules.run_rules(written(python.parse(f)))), written(python.suppressions(f)))
+    return rules.suppressed(written(rules.run_rules(written(python.parse(f, rules.KINDS, rules.COLUMNS)))), written(python.suppressions(f)))
 
 
 def _shown(i):
@@ -113,12 +113,12 @@ def text_sink(spark, sf_dir):
 
 @query("src05", "SELECT p_partkey AS file_id, 'Module' AS kind, 1 AS n FROM part UNION ALL SELECT p_partkey, 'FunctionDef', 2 FROM part UNION ALL SELECT p_partkey, 'Call', 4 FROM part UNION ALL SELECT p_partkey, 'If', 1 FROM part")
 def parsed(spark, sf_dir):
-    return nodes(spark, sf_dir).filter(F.col("kind").isin("Module", "FunctionDef", "Call", "If")).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+    return nodes(spark, sf_dir, ("Module", "FunctionDef", "Call", "If"), ("file_id", "kind")).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("src07", "SELECT p_partkey AS file_id, unnest(CASE WHEN p_size % 2 = 0 THEN ['os', 'pickle'] ELSE ['os', 'subprocess'] END) AS module FROM part")
 def found_imports(spark, sf_dir):
-    return python.imports(written(nodes(spark, sf_dir)))
+    return python.imports(written(nodes(spark, sf_dir, ("alias", "Import", "ImportFrom"), ("file_id", "node_id", "parent_id", "kind", "name"))))
 
 
 @query("src08", "SELECT 'pkg.' || lower(replace(p_brand, '#', '_')) || '.m_' || p_partkey AS module, 'pkg/' || lower(replace(p_brand, '#', '_')) || '/m_' || p_partkey || '.py' AS path FROM part")
@@ -138,21 +138,21 @@ def comments(spark, sf_dir):
 
 @query("irx02", "SELECT p_partkey AS file_id, unnest(['main.g_' || p_partkey, 'main.f_' || p_partkey]) AS qualname FROM part")
 def extracted(spark, sf_dir):
-    return python.functions(nodes(spark, sf_dir)).select("file_id", "qualname")
+    return python.functions(nodes(spark, sf_dir, ("FunctionDef", "AsyncFunctionDef", "ClassDef"), ("file_id", "node_id", "kind", "qualname"))).select("file_id", "qualname")
 
 
 @query("irx06", "SELECT p_partkey AS file_id, 'main.g_' || p_partkey AS scope, 'b' AS name, 'load' AS mode, 3 AS times FROM part")
 def def_use(spark, sf_dir):
-    return python.definitions_and_uses(nodes(spark, sf_dir)).filter("name = 'b'")
+    return python.definitions_and_uses(nodes(spark, sf_dir, ("Name",), ("file_id", "kind", "scope", "name", "value"))).filter("name = 'b'")
 
 
 @query("cgr01", "SELECT p_partkey AS file_id, unnest(['main', 'main.f_' || p_partkey]) AS caller, unnest(['main.f_' || p_partkey, 'main.g_' || p_partkey]) AS callee FROM part")
 def simple_call_graph(spark, sf_dir):
-    return callgraph.call_graph(written(nodes(spark, sf_dir)))
+    return callgraph.call_graph(written(nodes(spark, sf_dir, callgraph.KINDS, callgraph.COLUMNS)))
 
 
 def _graph(spark, sf_dir):
-    n = written(nodes(spark, sf_dir))
+    n = written(nodes(spark, sf_dir, callgraph.KINDS, callgraph.COLUMNS))
     members = n.filter("kind = 'FunctionDef'").select("file_id", F.col("qualname").alias("caller")).union(n.filter("kind = 'Module'").select("file_id", F.lit("main")))
     return callgraph.adjacency(callgraph.call_graph(n), members)
 
@@ -174,12 +174,12 @@ def graph_json(spark, sf_dir):
 
 @query("joi06", "SELECT p_partkey AS file_id, CASE WHEN p_size % 2 = 0 THEN 'pickle.loads' ELSE 'subprocess.Popen' END AS qualname FROM part")
 def alias_resolution(spark, sf_dir):
-    return nodes(spark, sf_dir).filter(F.col("kind").eqNullSafe("Call") & F.col("qualname").isin("pickle.loads", "subprocess.Popen")).select("file_id", "qualname")
+    return nodes(spark, sf_dir, ("Call",), ("file_id", "kind", "qualname")).filter(F.col("kind").eqNullSafe("Call") & F.col("qualname").isin("pickle.loads", "subprocess.Popen")).select("file_id", "qualname")
 
 
 @query("scl25", "SELECT p_partkey AS file_id, 'bool:True' AS shell FROM part WHERE p_size % 2 <> 0")
 def call_literals(spark, sf_dir):
-    return nodes(spark, sf_dir).filter("kind = 'Call'").select("file_id", F.element_at("kw", F.lit("shell")).alias("shell")).filter("shell is not null")
+    return nodes(spark, sf_dir, ("Call",), ("file_id", "kw")).select("file_id", F.element_at("kw", F.lit("shell")).alias("shell")).filter("shell is not null")
 
 
 @query("scl26", "SELECT DISTINCT cwe, 'https://cwe.mitre.org/data/definitions/' || cwe || '.html' AS link FROM (VALUES (78), (259), (502)) t(cwe)")
@@ -208,7 +208,7 @@ def hashes(spark, sf_dir):
 
 @query("scl30", "SELECT p_partkey AS file_id, unnest([4, 8]) AS lineno, unnest([7, 10]) AS last FROM part")
 def line_ranges(spark, sf_dir):
-    spans = nodes(spark, sf_dir).filter("kind = 'FunctionDef'").select("file_id", "lineno", F.sequence("lineno", "end_lineno").alias("lines"))
+    spans = nodes(spark, sf_dir, ("FunctionDef",), ("file_id", "lineno", "end_lineno")).select("file_id", "lineno", F.sequence("lineno", "end_lineno").alias("lines"))
     return spans.select("file_id", "lineno", F.element_at("lines", -1).alias("last"))
 
 

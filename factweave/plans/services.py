@@ -30,7 +30,7 @@ def custom_rule(spark, sf_dir):
     from ..sources import python
 
     own = lambda nodes: rules._issue(nodes.filter("kind = 'FunctionDef' and name like 'g\\\\_%'"), "X001", "LOW", "HIGH", 0)
-    return rules.run_rules(written(python.parse(files(spark, sf_dir))), [own]).filter("test_id = 'X001'").groupBy("file_id").agg(F.count("*").cast("int").alias("issues"))
+    return rules.run_rules(written(python.parse(files(spark, sf_dir), rules.KINDS, rules.COLUMNS)), [own]).filter("test_id = 'X001'").groupBy("file_id").agg(F.count("*").cast("int").alias("issues"))
 
 
 @query("udx09", "SELECT p_partkey AS file_id, 'block' AS family, 3 AS n FROM part")
@@ -39,7 +39,7 @@ def dispatch(spark, sf_dir):
     from ..sources import python
 
     family = spark.createDataFrame([("FunctionDef", "block"), ("If", "block"), ("While", "block")], "kind string, family string")
-    return python.parse(files(spark, sf_dir)).join(F.broadcast(family), "kind").groupBy("file_id", "family").agg(F.count("*").cast("int").alias("n"))
+    return python.parse(files(spark, sf_dir), ("FunctionDef", "If", "While"), ("file_id", "kind")).join(F.broadcast(family), "kind").groupBy("file_id", "family").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("str04", "SELECT time_bucket(INTERVAL 5 SECOND, ts) AS start, event_type AS kind, count(*) AS n, max(value) AS best FROM events GROUP BY ALL")
