@@ -11,93 +11,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
-from . import graph
-from .fixpoint import fixpoint
+from .fixpoint import brief, counted, fixpoint
 
 RESULT = -1
 
 
-def bound(edges: DataFrame, actuals: DataFrame, formals: DataFrame) -> DataFrame:
-    """(src, dst): copies that calls (site, target) make, into parameters and out of results."""
-    met = edges.join(actuals.select("site", "pos", F.col("slot").alias("given")), "site").join(formals.select(F.col("fn").alias("target"), "pos", F.col("slot").alias("own")), ["target", "pos"])
-    inward = F.col("pos") != RESULT
-    return met.select(F.when(inward, F.col("given")).otherwise(F.col("own")).alias("src"), F.when(inward, F.col("own")).otherwise(F.col("given")).alias("dst"))
+def _listed(asked: DataFrame, facts: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the positions and slots of each asked call site or function."""
+    listed = facts.select(key, F.struct("pos", "slot").alias("f")).groupBy(key).agg(F.collect_set("f").alias(name))
+    return written(asked.select(key).distinct().join(listed, key, "left"))
 
 
 def top_down(flows: DataFrame, refs: DataFrame, calls: DataFrame, actuals: DataFrame, formals: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(held, edges): the functions that slots hold (slot, target), and the calls (fn, site, target) of functions that the roots (fn) reach.
 
-    The inner fixpoint spreads functions over the copies known so far; what it finds at call slots adds calls, their
-    copies and the functions behind them to the next outer round. Each round goes on from what is new.
+    One fixpoint over rows (kind, a, b, c): ``H`` slot a holds function b, ``C`` what a holds is copied to b, ``K`` function b
+    calls at site c what a holds, ``E`` function a calls at site b function c, ``L`` function a is reached. New functions meet all
+    uses of their slot and new uses all functions of theirs, both by equality of the slot; calls bring their copies in the same round,
+    and what a reached function does is a row for each of its facts in the next.
     """
-    live = written(roots.select("fn").distinct())
-    fresh, edges, held, copies = live, None, None, None
-    while True:
-        more = flows.join(fresh, "fn").select("src", "dst")
-        if edges is not None:
-            more = more.unionByName(bound(found, actuals, formals))
-        more = written(more.distinct())
-        copies = more if copies is None else written(copies.unionByName(more).distinct())
-        own = refs.join(fresh, "fn").select("slot", "target")
-        if held is not None:  # what slots held before goes over the new copies
-            own = own.unionByName(held.join(more, held["slot"] == more["src"]).select(F.col("dst").alias("slot"), "target")).join(held, ["slot", "target"], "left_anti")
-        spread = fixpoint(own, lambda d, _, c=copies: d.join(c, d["slot"] == c["src"]).select(F.col("dst").alias("slot"), "target"))[0]
-        held = written(spread if held is None else held.unionByName(spread).distinct())
-        made = calls.join(live, "fn").join(held, "slot").select("fn", "site", "target").distinct()
-        found = written(made if edges is None else made.join(edges, ["fn", "site", "target"], "left_anti"))
-        if found.isEmpty():
-            return held, edges if edges is not None else found
-        edges = found if edges is None else written(edges.unionByName(found))
-        fresh = written(found.select(F.col("target").alias("fn")).distinct().join(live, "fn", "left_anti"))
-        live = written(live.unionByName(fresh))
-
-
-def order(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(fn, part, level): strong components of calls (fn, target), and how far above the leaves of the condensation they are."""
-    e = written(calls.select(F.col("fn").alias("src"), F.col("target").alias("dst")).distinct())
-    part = written(functions.select("fn").distinct().join(graph.strong_components(e).select(F.col("node").alias("fn"), "component"), "fn", "left").select("fn", F.coalesce("component", "fn").alias("part")))
-    up = e.join(part.select(F.col("fn").alias("src"), F.col("part").alias("a")), "src").join(part.select(F.col("fn").alias("dst"), F.col("part").alias("b")), "dst").filter("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst"))
-    level = graph.topological_levels(written(up.distinct())).withColumnRenamed("node", "part")
-    return part.join(level, "part", "left").select("fn", "part", F.coalesce("level", F.lit(0)).alias("level"))
+    row = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), *(p.alias(c) for p, c in zip([*parts, *[F.lit("")] * (3 - len(parts))], "abc", strict=True)))
+    col = F.col
+    does = flows.select("fn", row("C", col("src"), col("dst")).alias("r")).unionByName(refs.select("fn", row("H", col("slot"), col("target")).alias("r"))).unionByName(calls.select("fn", row("K", col("slot"), col("fn"), col("site")).alias("r")))
+    does, given, own = written(does.distinct()), _listed(calls, actuals, "site", "given"), _listed(refs, formals.withColumnRenamed("fn", "target"), "target", "own")
+    copies = F.expr(f"""flatten(transform(coalesce(given, array()), g -> transform(filter(coalesce(own, array()), o -> o.pos = g.pos), o ->
+      named_struct('kind', 'C', 'a', if(g.pos = {RESULT}, o.slot, g.slot), 'b', if(g.pos = {RESULT}, g.slot, o.slot), 'c', ''))))""")
+    held = lambda f: f.filter("kind = 'H'").select("a", col("b").alias("target"))
+    used = lambda f: f.filter("kind in ('C', 'K')").select("a", "kind", "b", "c")
+
+    def step(delta: DataFrame, every: DataFrame) -> DataFrame:
+        met, few = counted(held(delta).join(used(every), "a").unionByName(held(every).join(used(delta), "a")))
+        moved = met.filter("kind = 'C'").select(row("H", col("b"), col("target")).alias("r"))
+        found = met.filter("kind = 'K'").select(col("b").alias("fn"), col("c").alias("site"), "target")
+        found = brief(found.join(given, "site"), few).join(own, "target")
+        brought = found.select(F.explode(F.concat(F.array(row("E", col("fn"), col("site"), col("target")), row("L", col("target"))), copies)).alias("r"))
+        done = delta.filter("kind = 'L'").select(col("a").alias("fn")).join(does, "fn").select("r")
+        return moved.unionByName(brought).unionByName(done).select("r.*")
+
+    every = fixpoint(roots.select(row("L", col("fn")).alias("r")).select("r.*"), step)[0]
+    return every.filter("kind = 'H'").select(col("a").alias("slot"), col("b").alias("target")), every.filter("kind = 'E'").select(col("a").alias("fn"), col("b").alias("site"), col("c").alias("target"))
 
 
 def summaries(flows: DataFrame, calls: DataFrame, actuals: DataFrame, formals: DataFrame) -> DataFrame:
     """(fn, i, o): the values of formal i may come out at formal o; calls (fn, site, target) are known.
 
-    Functions are worked out level by level of the condensation, callees first: their summaries become copies between the
-    slots that call sites give. Inside a component summaries and copies grow together to a fixpoint.
+    From the bottom up in one fixpoint over rows (kind, fn, a, b): ``R`` formal a reaches slot b, ``C`` slot a is copied to slot b.
+    Functions that call nothing have their summaries first; each round's new summaries become copies between the slots that
+    call sites give, so that their callers, of the same strong component or above it, go on in the next round.
     """
-    placed = written(order(calls, formals.select("fn").union(calls.select("fn")).union(calls.select("target")).union(flows.select("fn"))))
-    sites = written(calls.join(placed.select(F.col("fn").alias("target"), F.col("part").alias("part_of")), "target").select("fn", "site", "target", "part_of"))
-    ends = sites.join(actuals, "site").select("fn", "target", "part_of", "site", "pos", "slot")
-    out, copies = None, written(flows.select("fn", "src", "dst").distinct())
-
-    def instances(found: DataFrame, at: DataFrame) -> DataFrame:
-        """Copies (fn, src, dst) that summaries (target, i, o) make at call sites."""
-        into = at.select("fn", "target", "site", F.col("pos").alias("i"), F.col("slot").alias("src"))
-        back = at.select("site", "target", F.col("pos").alias("o"), F.col("slot").alias("dst"))
-        return found.join(into, ["target", "i"]).join(back, ["site", "target", "o"]).select("fn", "src", "dst")
-
-    levels = [r["level"] for r in placed.select("level").distinct().orderBy("level").collect()]
-    for level in levels:
-        here = placed.filter(F.col("level") == level)
-        mine = here.select("fn", "part")
-        inner = written(ends.join(mine, "fn").filter("part = part_of").drop("part"))
-        own = written(formals.join(mine.select("fn"), "fn"))
-        reach = own.select(F.lit("R").alias("kind"), "fn", F.col("pos").cast("string").alias("a"), F.col("slot").alias("b"))
-        seed = reach.unionByName(copies.join(mine.select("fn"), "fn").select(F.lit("C").alias("kind"), "fn", F.col("src").alias("a"), F.col("dst").alias("b")))
-
-        def step(d: DataFrame, every: DataFrame, own=own, inner=inner) -> DataFrame:
-            reached = lambda f: f.filter("kind = 'R'").select("fn", F.col("a").alias("i"), F.col("b").alias("src"))
-            copied = lambda f: f.filter("kind = 'C'").select("fn", F.col("a").alias("src"), F.col("b").alias("dst"))
-            went = reached(d).join(copied(every), ["fn", "src"]).unionByName(reached(every).join(copied(d), ["fn", "src"]))
-            came = reached(d).join(own.select("fn", F.col("slot").alias("src"), F.col("pos").alias("o")), ["fn", "src"]).select(F.col("fn").alias("target"), F.col("i").cast("int").alias("i"), "o")
-            made = instances(came.filter("i <> o"), inner)
-            return went.select(F.lit("R").alias("kind"), "fn", F.col("i").alias("a"), F.col("dst").alias("b")).unionByName(made.select(F.lit("C").alias("kind"), "fn", F.col("src").alias("a"), F.col("dst").alias("b")))
-
-        rows = fixpoint(seed, step)[0].filter("kind = 'R'").select("fn", F.col("a").cast("int").alias("i"), F.col("b").alias("slot"))
-        found = written(rows.join(own.select("fn", "slot", F.col("pos").alias("o")), ["fn", "slot"]).filter("i <> o").select("fn", "i", "o").distinct())
-        out = found if out is None else out.unionByName(found)
-        above = instances(found.withColumnRenamed("fn", "target"), ends.join(mine.select(F.col("fn").alias("target")), "target"))
-        copies = written(copies.unionByName(above).distinct())
-    return out if out is not None else formals.select("fn", F.col("pos").alias("i"), F.col("pos").alias("o")).filter("false")
+    own = written(formals.select("fn", "pos", "slot").distinct())
+    sites = written(calls.select("fn", "site", "target").distinct().join(_listed(calls, actuals, "site", "given"), "site").select("fn", "target", "given"))
+
+    def rows(reached: DataFrame, few: bool = False) -> DataFrame:
+        """The rows of (fn, i, slot), with the copies that their summaries make at call sites."""
+        came = reached.join(own.select("fn", "slot", F.col("pos").alias("o")), ["fn", "slot"]).filter("i <> o").select(F.col("fn").alias("target"), "i", "o").distinct()
+        ends = F.expr("flatten(transform(filter(given, g -> g.pos = i), g -> transform(filter(given, h -> h.pos = o), h -> named_struct('a', g.slot, 'b', h.slot))))")
+        made = brief(came, few).join(sites, "target").select("fn", F.explode(ends).alias("c")).select(F.lit("C").alias("kind"), "fn", "c.*")
+        return reached.select(F.lit("R").alias("kind"), "fn", F.col("i").cast("string").alias("a"), F.col("slot").alias("b")).unionByName(made)
+
+    def step(delta: DataFrame, every: DataFrame) -> DataFrame:
+        reached = lambda f: f.filter("kind = 'R'").select("fn", F.col("a").cast("int").alias("i"), F.col("b").alias("src"))
+        copied = lambda f: f.filter("kind = 'C'").select("fn", F.col("a").alias("src"), F.col("b").alias("slot"))
+        went = reached(delta).join(copied(every), ["fn", "src"]).unionByName(reached(every).join(copied(delta), ["fn", "src"]))
+        return rows(*counted(went.select("fn", "i", "slot").distinct()))
+
+    seed = rows(own.select("fn", F.col("pos").alias("i"), "slot")).unionByName(flows.select(F.lit("C").alias("kind"), "fn", F.col("src").alias("a"), F.col("dst").alias("b")))
+    found = fixpoint(seed, step)[0].filter("kind = 'R'").select("fn", F.col("a").cast("int").alias("i"), F.col("b").alias("slot"))
+    return found.join(own.select("fn", "slot", F.col("pos").alias("o")), ["fn", "slot"]).filter("i <> o").select("fn", "i", "o").distinct()

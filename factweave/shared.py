@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a written table: later plans start from files that outlive executors."""
+def stored(df: DataFrame) -> str:
+    """The path of the frame as a written table."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a written table: later plans start from files that outlive executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
