@@ -5,6 +5,7 @@ import os
 from factweave.operators import interproc
 from factweave.operators.fixpoint import fixpoint
 from factweave.shared import shared_dir
+from factweave.sources.flows import flow_facts
 
 
 def chain(spark, n):
@@ -44,3 +45,8 @@ def test_rounds_of_many_and_of_few_rows(spark, monkeypatch):
         rows, rounds, done = fixpoint(spark.createDataFrame([(1,)], "n int"), step)
         got.append((sorted(r.n for r in rows.collect()), rounds, done))
     assert got[0] == got[1] == got[2] and len(set(got[0][0])) == len(got[0][0])
+
+
+def test_sources_are_dealt_to_tasks(spark):
+    files = spark.createDataFrame([(str(k), "main.py", "x = 1\n") for k in range(40)], "project string, path string, text string").coalesce(1)
+    assert flow_facts(files).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
