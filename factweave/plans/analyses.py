@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import combinatorics, conditions, pointsto, shape
-from ..shared import written
-from .base import EDGE, FLOW, edges, flow, nodes, program, query, roots, table
+from ..shared import spread, written
+from .base import EDGE, FLOW, edges, flow, led, lines, nodes, program, query, roots, table
 
 
 def _text(c):
@@ -230,8 +230,9 @@ def common(spark, sf_dir):
 
 
 def _kinds(spark, sf_dir):
-    """Each order's graph by its lines' numbers."""
-    return flow(spark, sf_dir).select(F.expr("cast(src div 10 as string)").alias("kind"), (F.col("src") % 10).alias("src"), (F.col("dst") % 10).alias("dst"))
+    """Each order's graph by its lines' numbers. Lines are dealt by order once, which serves all that follows."""
+    l = lines(spread(table(spark, sf_dir, "lineitem").filter("l_orderkey is not null and l_linenumber is not null"), "l_orderkey"))
+    return l.select(F.col("p").alias("kind"), "j", led()).select("kind", F.col("j").cast("long").alias("src"), F.col("to").cast("long").alias("dst"))
 
 
 @query("gra15")

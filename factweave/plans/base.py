@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -31,6 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(lineitem: DataFrame) -> DataFrame:
+    """(p, j, flag, status, weight, next, after, first, last): each line of an order once, with the numbers of the next two and of the order's ends."""
+    one = lineitem.groupBy(F.col("l_orderkey").alias("p"), F.col("l_linenumber").alias("j")).agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").cast("long").alias("weight"))
+    w, whole = Window.partitionBy("p").orderBy("j"), Window.partitionBy("p")
+    return one.select("*", F.lead("j").over(w).alias("next"), F.lead("j", 2).over(w).alias("after"), F.min("j").over(whole).alias("first"), F.max("j").over(whole).alias("last"))
+
+
+def led() -> Column:
+    """A row for each line that one of ``lines`` leads to, its number as ``to``."""
+    to = [("next", "next is not null and (flag <> 'A' or after is null)"), ("after", "after is not null and flag <> 'N'"), ("first", "j = last and j > first and status = 'F'")]
+    return F.explode(F.array_compact(F.array(*(F.when(F.expr(where), F.col(c)) for c, where in to)))).alias("to")
+
+
 def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, flow) of the programs that orders describe, one graph for each order, from all lines.
 
@@ -38,13 +51,9 @@ def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     flow (src, dst, weight, kind): a line leads to the next one, some (R) also to the one after it, others (A) only there; the last
     line of some orders leads back to the first.
     """
-    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("p"), F.col("l_linenumber").alias("j")).agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.max("l_quantity").cast("long").alias("weight"))
-    w, whole = Window.partitionBy("p").orderBy("j"), Window.partitionBy("p")
-    l = written(one.select("*", F.lead("j").over(w).alias("next"), F.lead("j", 2).over(w).alias("after"), F.min("j").over(whole).alias("first"), F.max("j").over(whole).alias("last")))
-    at = lambda j: (F.col("p") * 10 + F.col(j)).cast("long")
+    l, at = written(lines(table(spark, sf_dir, "lineitem"))), lambda j: (F.col("p") * 10 + F.col(j)).cast("long")
     kind = F.when(F.col("flag") == "R", "3-MEDIUM").when(F.col("flag") == "N", F.when(F.col("status") == "O", "1-URGENT").otherwise("2-HIGH")).otherwise(F.when(F.col("status") == "O", "4-NOT SPECIFIED").otherwise("5-LOW"))
-    edge = lambda dst, where: l.filter(where).select(at("j").alias("src"), at(dst).alias("dst"), "weight", kind.alias("kind"))
-    f = edge("next", "next is not null and (flag <> 'A' or after is null)").union(edge("after", "after is not null and flag <> 'N'")).union(edge("first", "j = last and j > first and status = 'F'"))
+    f = l.select("p", "j", "weight", kind.alias("kind"), led()).select(at("j").alias("src"), at("to").alias("dst"), "weight", "kind")
     return l.select(at("j").alias("id"), (F.col("j") == F.col("first")).alias("top"), (F.col("j") == F.col("last")).alias("bottom"), F.when(F.col("status") == "F", 0).otherwise(1).alias("region")), f
 
 

@@ -1,6 +1,7 @@
 """Kernels against brute force on small graphs, and the edge cases of tables."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -213,3 +214,30 @@ def test_per_graph_takes_many_graphs_at_once(spark):
     got = combinatorics.per_graph(frame.coalesce(1), "kind", cuts, "kind string, node long, seen long").collect()
     want = {(k, n) for k in {e[0] for e in edges} for n in combinatorics.cut_nodes(combinatorics.neighbours([(a, b) for kind, a, b in edges if kind == k]))}
     assert {(r.kind, r.node) for r in got} == want and len(got) == len(want) and max(r.seen for r in got) > 10
+
+
+def test_equal_graphs_are_worked_out_once(spark):
+    """A task remembers the graphs that it has seen."""
+    from factweave.operators import combinatorics
+
+    edges = spark.createDataFrame([(k, n, n + 1) for k in range(40) for n in range(1 + k % 2)], "kind long, src long, dst long")
+    calls = []
+
+    def nodes(graph):
+        calls.append(graph)
+        return [(n, len(calls)) for n in sorted(graph)]
+
+    got = combinatorics.per_graph(edges.repartition(1, "kind"), "kind", nodes, "kind string, node long, calls long")
+    rows = got.collect()
+    assert sorted((r.kind, r.node) for r in rows) == sorted((str(k), n) for k in range(40) for n in range(2 + k % 2)) and max(r.calls for r in rows) == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the tables")
+@pytest.mark.parametrize("name", ["gra15", "gra17", "gra19", "gra21"])
+def test_graphs_of_orders_take_one_shuffle(spark, name):
+    import __spark_entry__ as entry
+    from factweave.shared import shared_dir
+
+    before = len(os.listdir(shared_dir(spark).removeprefix("file:")))
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and len(os.listdir(shared_dir(spark).removeprefix("file:"))) == before
