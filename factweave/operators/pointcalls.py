@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..shared import written
-from .fixpoint import fixpoint
+from ..sources import flows
+from . import alike
+from .fixpoint import FEW, brief, fixpoint
 
 PARTS = 12
 _USES = ("copy", "load", "load_i", "store", "load_at", "store_at", "iter", "call", "super", "fill", "merge", "shift")
@@ -90,17 +92,22 @@ def _uses(facts: DataFrame) -> DataFrame:
     return plain.union(made).union(anyone).union(starred)
 
 
+def _met(table: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a table that are asked for, so that few of them go on to an outer join."""
+    return table.join(asked.select(keys), keys, "left_semi")
+
+
 def _solve(facts: DataFrame, uses: DataFrame, lookup: DataFrame, outside: DataFrame) -> DataFrame:
     """All rows of the fixpoint."""
     of = lambda kind: facts.filter(F.col("kind") == kind)
-    known = of("module").select("project", F.col("a").alias("module")).distinct()
-    like = of("like").select("project", F.col("a").alias("o"), F.col("b").alias("like"))
+    known = written(of("module").select("project", F.col("a").alias("module")).distinct())
+    like = written(of("like").select("project", F.col("a").alias("o"), F.col("b").alias("like")))
     first = of("param").filter("n = 0").select("project", F.col("a").alias("f"), F.col("c").alias("self"))
-    functions = of("function").select("project", F.col("a").alias("f"), F.col("b").alias("how")).join(first, ["project", "f"], "left")
-    args = of("arg").select("project", F.col("a").alias("site"), F.col("b").alias("named"), F.col("c").alias("given"), F.col("n").alias("at"))
-    params = of("param").select("project", F.col("a").alias("f"), F.col("b").alias("name"), F.col("c").alias("slot"), "n")
-    rest = of("rest").select("project", F.col("a").alias("f"), F.col("b").alias("o"), "n")
-    items = of("copy").filter(r"b rlike '^o:.*\\[[0-9]+\\]$'").select("project", F.regexp_extract("b", r"^(.*)\[[0-9]+\]$", 1).alias("o"), F.regexp_extract("b", r"\[([0-9]+)\]$", 1).cast("int").alias("at"))
+    functions = written(of("function").select("project", F.col("a").alias("f"), F.col("b").alias("how")).join(first, ["project", "f"], "left"))
+    args = written(of("arg").select("project", F.col("a").alias("site"), F.col("b").alias("named"), F.col("c").alias("given"), F.col("n").alias("at")))
+    params = written(of("param").select("project", F.col("a").alias("f"), F.col("b").alias("name"), F.col("c").alias("slot"), "n"))
+    rest = written(of("rest").select("project", F.col("a").alias("f"), F.col("b").alias("o"), "n"))
+    items = written(of("copy").filter(r"b rlike '^o:.*\\[[0-9]+\\]$'").select("project", F.regexp_extract("b", r"^(.*)\[[0-9]+\]$", 1).alias("o"), F.regexp_extract("b", r"\[([0-9]+)\]$", 1).cast("int").alias("at")))
     static = written(uses)
     objects = of("pts").select("project", F.lit("P").alias("kind"), "a", "b")
     made = of("yields").select("project", F.lit("P"), F.concat("a", F.lit(".<generator>")), F.concat(F.lit("g:"), "a")).distinct()
@@ -116,29 +123,40 @@ def _solve(facts: DataFrame, uses: DataFrame, lookup: DataFrame, outside: DataFr
         met = held(delta).join(static.union(used(every)), ["project", "slot"]).unionByName(held(every).join(used(delta), ["project", "slot"]))
         split = met.select("project", "o", F.substring("o", 1, 1).alias("k"), F.expr("substring(o, 3)").alias("x"), "u", "b", "c", "n")
         given = written(split.select("project", F.explode(F.expr(_GIVES)).alias("g")).select("project", "g.*").distinct())
-        kind = lambda k: given.filter(F.col("kind") == k)
+        many = {r["kind"]: r["count"] for r in given.groupBy("kind").count().collect()}  # only joins with rows are planned
+        kind = lambda k: brief(given.filter(F.col("kind") == k), many[k] <= FEW)
         row = lambda kind, *parts: ["project", F.lit(kind).alias("kind"), *(p.alias(c) for p, c in zip([*parts, *[F.lit("")] * (5 - len(parts))], "abcde", strict=True))]
         out = [given.filter(F.col("kind").isin("P", "E", *_DYNAMIC))]
-        module = kind("ML").withColumn("inner", F.concat_ws(".", "a", "b")).join(known.select("project", F.col("module").alias("inner"), F.lit(True).alias("is_inner")), ["project", "inner"], "left")
-        module = module.join(known.select("project", F.col("module").alias("a"), F.lit(True).alias("is_known")), ["project", "a"], "left")
-        out.append(module.filter("is_inner").select(*row("P", F.col("c"), F.concat(F.lit("m:"), "inner"))))
-        out.append(module.filter("is_known").select(*row("copy", F.col("inner"), F.col("c"))))
-        out.append(module.filter("is_inner is null and is_known is null").select(*row("P", F.col("c"), F.concat(F.lit("x:"), "inner"))))
-        sought = kind("L").withColumnsRenamed({"a": "cls", "b": "after", "c": "attr"}).join(lookup, ["project", "cls", "after", "attr"], "left").join(outside, ["project", "cls"], "left")
-        out.append(sought.filter("definer is not null").select(*row("bind", F.concat_ws(".", "definer", "attr"), F.col("d"), F.col("e"))))
-        out.append(sought.filter("definer is null and beyond is not null").select(*row("P", F.col("d"), F.concat(F.lit("x:"), "beyond", F.lit("."), "attr"))))
-        out.append(kind("LK").withColumnRenamed("a", "o").join(like, ["project", "o"]).select(*row("P", F.col("c"), F.concat(F.lit("x:"), "like", F.lit("."), "b"))))
-        bound = kind("BF").withColumnRenamed("a", "f").join(functions, ["project", "f"]).withColumn("self_bound", F.expr("how = 'class' or how = 'plain' and c like 'i:%'"))
-        out.append(bound.select(*row("P", F.col("b"), F.concat(F.when(F.col("self_bound"), "b:").otherwise("f:"), "f"))))
-        out.append(bound.filter("self_bound and self is not null").select(*row("P", F.col("self"), F.when(F.col("how") == "class", F.concat(F.lit("c:"), F.expr("substring(c, 3)"))).otherwise(F.col("c")))))
-        sent = kind("T").select("project", F.col("a").alias("site"), F.col("b").alias("f"), F.col("c").cast("int").alias("off")).join(args, ["project", "site"])
-        fits = (F.col("n") == F.col("at") + F.col("off")) | (F.col("name") == F.col("named"))
-        out.append(sent.join(params, ["project", "f"]).filter(fits).select(*row("copy", F.col("given"), F.col("slot"))))
-        over = sent.join(rest, ["project", "f"]).filter("at + off >= n")
-        out.append(over.select(*row("copy", F.col("given"), F.concat("o", F.lit("["), (F.col("at") + F.col("off") - F.col("n")).cast("string"), F.lit("]")))))
-        out.append(over.select(*row("copy", F.col("given"), F.concat("o", F.lit("[]")))))
-        moved = kind("SH").withColumnRenamed("a", "o").join(items, ["project", "o"]).filter("at >= int(c)")
-        out.append(moved.select(*row("copy", F.concat("o", F.lit("["), F.col("at").cast("string"), F.lit("]")), F.concat("b", F.lit("["), (F.col("at") - F.col("c").cast("int")).cast("string"), F.lit("]")))))
+        if "ML" in many:
+            asked = kind("ML").withColumn("inner", F.concat_ws(".", "a", "b"))
+            inner, whole = known.select("project", F.col("module").alias("inner"), F.lit(True).alias("is_inner")), known.select("project", F.col("module").alias("a"), F.lit(True).alias("is_known"))
+            module = asked.join(_met(inner, asked, ["project", "inner"]), ["project", "inner"], "left").join(_met(whole, asked, ["project", "a"]), ["project", "a"], "left")
+            object_ = F.concat(F.when(F.col("is_inner"), "m:").when(F.col("is_known").isNull(), "x:"), "inner")
+            got = F.array_compact(F.array(F.when(object_.isNotNull(), F.struct(*row("P", F.col("c"), object_)[1:])), F.when(F.col("is_known"), F.struct(*row("copy", F.col("inner"), F.col("c"))[1:]))))
+            out.append(module.select("project", F.explode(got).alias("g")).select("project", "g.*"))
+        if "L" in many:
+            asked = kind("L").withColumnsRenamed({"a": "cls", "b": "after", "c": "attr"})
+            sought = asked.join(_met(lookup, asked, ["project", "cls", "after", "attr"]), ["project", "cls", "after", "attr"], "left").join(_met(outside, asked, ["project", "cls"]), ["project", "cls"], "left")
+            bind, above = row("bind", F.concat_ws(".", "definer", "attr"), F.col("d"), F.col("e")), row("P", F.col("d"), F.concat(F.lit("x:"), "beyond", F.lit("."), "attr"))
+            got = F.when(F.col("definer").isNotNull(), F.struct(*bind[1:])).when(F.col("beyond").isNotNull(), F.struct(*above[1:]))
+            out.append(sought.select("project", got.alias("g")).filter("g is not null").select("project", "g.*"))
+        if "LK" in many:
+            out.append(kind("LK").withColumnRenamed("a", "o").join(like, ["project", "o"]).select(*row("P", F.col("c"), F.concat(F.lit("x:"), "like", F.lit("."), "b"))))
+        if "BF" in many:
+            bound = kind("BF").withColumnRenamed("a", "f").join(functions, ["project", "f"]).withColumn("self_bound", F.expr("how = 'class' or how = 'plain' and c like 'i:%'"))
+            itself = row("P", F.col("self"), F.when(F.col("how") == "class", F.concat(F.lit("c:"), F.expr("substring(c, 3)"))).otherwise(F.col("c")))
+            got = F.array(F.struct(*row("P", F.col("b"), F.concat(F.when(F.col("self_bound"), "b:").otherwise("f:"), "f"))[1:]), F.when(F.expr("self_bound and self is not null"), F.struct(*itself[1:])))
+            out.append(bound.select("project", F.explode(F.array_compact(got)).alias("g")).select("project", "g.*"))
+        if "T" in many:
+            sent = kind("T").select("project", F.col("a").alias("site"), F.col("b").alias("f"), F.col("c").cast("int").alias("off")).join(args, ["project", "site"])
+            fits = (F.col("n") == F.col("at") + F.col("off")) | (F.col("name") == F.col("named"))
+            out.append(sent.join(params, ["project", "f"]).filter(fits).select(*row("copy", F.col("given"), F.col("slot"))))
+            over = sent.join(rest, ["project", "f"]).filter("at + off >= n")
+            one = F.concat("o", F.lit("["), (F.col("at") + F.col("off") - F.col("n")).cast("string"), F.lit("]"))
+            out.append(over.select("*", F.explode(F.array(one, F.concat("o", F.lit("[]")))).alias("to")).select(*row("copy", F.col("given"), F.col("to"))))
+        if "SH" in many:
+            moved = kind("SH").withColumnRenamed("a", "o").join(items, ["project", "o"]).filter("at >= int(c)")
+            out.append(moved.select(*row("copy", F.concat("o", F.lit("["), F.col("at").cast("string"), F.lit("]")), F.concat("b", F.lit("["), (F.col("at") - F.col("c").cast("int")).cast("string"), F.lit("]")))))
         every_row = out[0].select(_COLUMNS)
         for part in out[1:]:
             every_row = every_row.union(part.select(_COLUMNS))
@@ -211,6 +229,14 @@ def call_graph(facts: DataFrame) -> DataFrame:
     return _solve(facts, uses, lookup, outside).filter("kind = 'E'").select("project", F.col("a").alias("caller"), F.col("b").alias("callee"))
 
 
+def file_calls(files: DataFrame) -> DataFrame:
+    """(project, caller, callee) of files (project, path, text): projects with equal files are parsed and worked out once."""
+    files = files.withColumn("project", F.col("project").cast("string"))
+    members, _ = alike.classes(files.select("project", "path", F.sha2("text", 256).alias("text")), "project", "path", "text")
+    likes = members.filter("project = like").select("project")
+    return alike.given(call_graph(flows.flow_facts(files.join(likes, "project"))), members, "project").select("project", "caller", "callee")
+
+
 def graph_nodes(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, node): functions and modules of the sources and all that is called."""
     return facts.filter("kind in ('function', 'module')").select("project", F.col("a").alias("node")).union(edges.select("project", "callee")).distinct()

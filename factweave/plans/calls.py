@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pointcalls
-from ..sources import flows
 from .base import query, table
 
 
@@ -28,4 +27,4 @@ UNION ALL SELECT CAST(p AS VARCHAR), 'lib.L' || k || '.run', '<builtin>.super' F
 UNION ALL SELECT CAST(p AS VARCHAR), 'lib.L' || k || '.run', 'lib.L' || above || '.run' FROM d WHERE own AND up AND above IS NOT NULL""")
 def pointed_calls(spark, sf_dir):
     """Who calls which method: receivers are found by points-to, methods along the resolution order, super() behind it."""
-    return pointcalls.call_graph(flows.flow_facts(programs(spark, sf_dir)))
+    return pointcalls.file_calls(programs(spark, sf_dir))
