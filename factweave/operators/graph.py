@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import replaced, written
 from .fixpoint import fixpoint
 
 
@@ -74,23 +76,42 @@ def _least(start: DataFrame, edges: DataFrame) -> DataFrame:
         state = new
 
 
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(node, label): the root of each node, by pointer jumping; parents (node, label) lead to roots, which are their own parents."""
+    names, path = replaced(parents, None)
+    while True:
+        far = names.join(names.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
+        new, path = replaced(far.select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved")), path)
+        names = new.select("node", "label")
+        if new.filter("moved").isEmpty():
+            return names
+
+
 def components(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node of each connected component, directions aside; ``alone`` adds nodes without edges.
 
-    Labels take the least of their neighbours' and then jump to their label's label, so the rounds grow with the
-    logarithm of the diameter on most graphs.
+    In each round nodes follow their least neighbour, if it is less than they, to a root; then edges are between roots, and those
+    that are left are fewer. A component's least node is a root in all rounds. Rounds' names are put together from the last one on.
     """
-    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    start = nodes(edges) if alone is None else nodes(edges).union(alone.select("node")).distinct()
-    state = written(start.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(state, both["src"] == state["node"]).select(F.col("dst").alias("node"), "label")
-        low = state.union(near).groupBy("node").agg(F.min("label").alias("label"))
-        jump = low.alias("x").join(low.alias("y"), F.col("x.label") == F.col("y.node")).select(F.col("x.node"), F.least("x.label", "y.label").alias("label"))
-        new = written(jump)
-        if new.join(state, ["node", "label"], "left_anti").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        state = new
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    left, path = replaced(ends.filter("src < dst").distinct(), None)
+    named = []
+    while not left.isEmpty():
+        near = left.select(F.col("dst").alias("node"), F.col("src").alias("label")).union(left.select("src", "src"))
+        names = _rooted(near.groupBy("node").agg(F.min("label").alias("label")))
+        named.append(names)
+        moved = left.join(names.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+        left, path = replaced(moved.filter("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), path)
+    found = None
+    for names in reversed(named):
+        if found is not None:
+            names = names.join(found.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        found = written(names)
+    single = nodes(edges.filter("not coalesce(src <> dst, false)"))
+    if alone is not None:
+        single = single.union(alone.select("node")).distinct()
+    single = single.select("node", F.col("node").alias("component"))
+    return single if found is None else found.select("node", F.col("label").alias("component")).union(single.join(found, "node", "left_anti"))
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
@@ -169,18 +190,26 @@ def frontier(edges: DataFrame, doms: DataFrame) -> DataFrame:
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight) of the minimum spanning forest: Boruvka rounds, ties by the ends."""
-    e = written(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").filter("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    label = written(nodes(e).select("node", F.col("node").alias("component")))
-    taken = None
-    while True:
-        named = e.join(label.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").filter("a <> b")
-        both = named.select("a", "src", "dst", "weight").union(named.select(F.col("b").alias("a"), "src", "dst", "weight"))
-        best = written(both.groupBy("a").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight").distinct())
-        if best.isEmpty():
-            return taken if taken is not None else e
-        taken = best if taken is None else written(taken.unionByName(best).distinct())
-        label = written(components(taken, nodes(e)))
+    """(src, dst, weight) of the minimum spanning forest: Boruvka rounds, ties by the ends.
+
+    Each tree takes its lightest edge and follows it; the lesser of two that take the same edge is the root of all that come to
+    them. Edges between the trees that this makes are what the next round reads.
+    """
+    once = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").filter("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    left, path = replaced(once.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight", "src", "dst"), None)
+    taken = []
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a", "weight", "src", "dst"))
+        best = both.groupBy("a").agg(F.min(F.struct("weight", "src", "dst", "b")).alias("e")).select("a", "e.*")
+        chosen = written(best.groupBy("src", "dst", "weight").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("b").alias("b")))
+        taken.append(chosen.select("src", "dst", "weight"))
+        alone = F.struct(F.col("lo").alias("node"), F.col("b").alias("label"))
+        pair = [F.struct(F.col(c).alias("node"), F.col("lo").alias("label")) for c in ("lo", "hi")]
+        names = _rooted(chosen.select(F.explode(F.when(F.col("lo") == F.col("hi"), F.array(alone)).otherwise(F.array(*pair))).alias("n")).select("n.*"))
+        to = lambda c: names.select(F.col("node").alias(c), F.col("label").alias(f"new_{c}"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").filter("new_a <> new_b")
+        left, path = replaced(moved.select(F.col("new_a").alias("a"), F.col("new_b").alias("b"), "weight", "src", "dst"), path)
+    return functools.reduce(DataFrame.union, taken) if taken else left.select("src", "dst", "weight")
 
 
 def two_colouring(edges: DataFrame) -> DataFrame:

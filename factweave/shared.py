@@ -33,6 +33,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df))
 
 
+def replaced(df: DataFrame, old: str | None) -> tuple[DataFrame, str]:
+    """The frame as a written table with its path; the table at the path ``old``, which nothing is read from any more, is deleted."""
+    spark, path = df.sparkSession, stored(df)
+    if old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt to as many tasks as the session shuffles to, by a hash of keys: of rows that are little to read but much
     work, a file's few splits would leave all to a few tasks.
