@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, shape
@@ -64,9 +65,9 @@ e AS (SELECT DISTINCT x.slot AS a, y.slot AS b FROM b x JOIN b y ON x.o = y.o),
 SELECT l_partkey AS slot, CASE WHEN l_partkey IN (SELECT b FROM w) THEN (SELECT min(l_partkey) FROM lineitem) ELSE -1 END AS region FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
 def regions(spark, sf_dir):
     """Slots (parts) that one operation (order) reads are one region; named are the slots of the least slot's region, the others have -1."""
-    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.format_string("%019d", F.col("l_partkey").cast("long"))).alias("dst"))
-    found = graph.components(e).filter("node like 'p%'")
-    per = found.groupBy("component").agg(F.min("node").alias("least"))
-    named = found.join(per, "component").select(F.expr("cast(substring(node, 2) as long)").alias("slot"), F.expr("cast(substring(least, 2) as long)").alias("region"))
-    first = table(spark, sf_dir, "lineitem").agg(F.min("l_partkey").alias("one"))
-    return named.join(first, named["region"] == first["one"], "left").select("slot", F.when(F.col("one").isNotNull(), F.col("region")).otherwise(-1).alias("region"))
+    slots = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("node"))
+    read = slots.filter("o is not null").select("node", F.min("node").over(Window.partitionBy("o")).alias("least"))
+    e = read.filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    found = graph.components(e, slots.select("node").distinct())
+    first = slots.agg(F.min("node").alias("one"))
+    return found.join(F.broadcast(first), found["component"] == first["one"], "left").select(F.col("node").alias("slot"), F.coalesce("one", F.lit(-1)).alias("region"))
